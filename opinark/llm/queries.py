@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opinark.llm import components, copies, cutoffs
+from opinark.llm import components, copies, cutoffs, setjoin, spectral
 from opinark.plans.registry import Registry
 from opinark.runtime import cut, item_key, table
 
@@ -124,3 +124,28 @@ def p6_split_sizes(spark, sf_dir):
     got = split.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
     total = got.agg(F.sum("n_rows").alias("total"))
     return wanted.join(got, "split", "left").join(F.broadcast(total)).select("split", "proportion", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.round(F.coalesce("n_rows", F.lit(0)) / F.col("total"), 6).alias("share"))
+
+
+# Problem 7
+
+
+def _clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "reviews_cleaning2").select("row_id", "sentence_text")
+    sets = cut(setjoin.word_sets(rows, "row_id", "sentence_text"), "word-sets")
+    links, copied = setjoin.likeness_links(sets)
+    return sets, spectral.with_copies(spectral.spectral_clusters(links), copied)
+
+
+@llm.query("p7_found")
+def p7_found(spark, sf_dir):
+    _, members = _clusters(spark, sf_dir)
+    return members.where("row_id <> root").select(F.col("root").alias("first_row_id"), "row_id")
+
+
+@llm.query("p7_clusters")
+def p7_clusters(spark, sf_dir):
+    """Size of each cluster of two rows or more, and its three most typical sentences."""
+    sets, members = _clusters(spark, sf_dir)
+    best = spectral.typical_members(cut(members, "members"), sets)
+    texts = table(spark, sf_dir, "reviews_cleaning2").select("row_id", "sentence_text")
+    return best.join(texts, "row_id").select(F.col("root").alias("first_row_id"), "cluster_size", "rank", "row_id", "affinity", "sentence_text")
