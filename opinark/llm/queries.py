@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opinark.llm import components, copies, cutoffs, setjoin, spectral
+from opinark.llm import components, copies, cutoffs, leakage, sentences, setjoin, spectral
 from opinark.plans.registry import Registry
 from opinark.runtime import cut, item_key, table
 
@@ -149,3 +149,48 @@ def p7_clusters(spark, sf_dir):
     best = spectral.typical_members(cut(members, "members"), sets)
     texts = table(spark, sf_dir, "reviews_cleaning2").select("row_id", "sentence_text")
     return best.join(texts, "row_id").select(F.col("root").alias("first_row_id"), "cluster_size", "rank", "row_id", "affinity", "sentence_text")
+
+
+# Problem 9
+
+
+def _leaks(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items")
+    return leakage.leaked_spans(docs.select("doc_id", "text"), "doc_id", "text", items.select("item_id", F.col("text").alias("item_text")), "item_id", "item_text")
+
+
+@llm.query("p9_found")
+def p9_found(spark, sf_dir):
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+@llm.query("p9_items")
+def p9_items(spark, sf_dir):
+    """Each item that leaked: into how many documents, and the longest run."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max(F.col("word_end") - F.col("word_start")).alias("longest_run"))
+
+
+@llm.query("p9_cleaned")
+def p9_cleaned(spark, sf_dir):
+    """The documents without leaked spans."""
+    spans = cut(_leaks(spark, sf_dir), "leaks")
+    return leakage.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text", spans)
+
+
+# Problem 10
+
+
+@llm.query("p10_found")
+def p10_found(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.split_sentences(docs, "doc_id", "text").select("doc_id", "char_start", "char_end")
+
+
+@llm.query("p10_languages")
+def p10_languages(spark, sf_dir):
+    """Sentences and their mean length per language as labelled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
+    found = sentences.split_sentences(docs, "doc_id", "text")
+    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_sentences"), F.round(F.avg(F.col("char_end") - F.col("char_start")), 6).alias("mean_chars")
+    )
