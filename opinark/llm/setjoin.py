@@ -35,6 +35,8 @@ from opinark.runtime import cut
 TOP_WORDS = 60_000
 MAX_TASK_ROWS = 200_000
 MAX_DEPTH = 6
+#: Partitions at least, so that a row goes to as many of them in small tables as in large ones.
+MIN_PARTS = 48
 #: Groups up to this size are compared pair by pair; larger ones are split by a further word.
 SMALL_GROUP = 40
 _SIGN = np.int64(-(2**63))
@@ -73,24 +75,31 @@ class _WordHashes(dict):
         return h
 
 
-def word_sets(rows: DataFrame, row_id: str, text: str, min_words: int = 5) -> DataFrame:
-    """(row_id, words): the 64-bit hashes of each row's different words; shorter and null texts are left out."""
+def word_sets(rows: DataFrame, row_id: str, text: str, min_words: int = 5, keep: str | None = None) -> DataFrame:
+    """(row_id, words): the 64-bit hashes of each row's different words; shorter and null texts are left out.
+
+    keep: a string column that is passed on, as first column.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            ids, offsets, flat = [], [0], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, offsets, flat, kept = [], [0], [], []
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 found = words(t)
                 if len(found) >= min_words:
+                    kept.append(k)
                     ids.append(i)
                     flat.extend([hashes[w] for w in set(found)])
                     offsets.append(len(flat))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["row_id", "words"])
+            out = {"row_id": pa.array(ids, pa.int64()), "words": lists}
+            if keep:
+                out = {keep: batch.column(2).take(pa.array(kept, pa.int64()))} | out
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    source = rows.where(F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    return source.mapInArrow(read, "row_id long, words array<long>")
+    source = rows.where(F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"), *([keep] if keep else []))
+    return source.mapInArrow(read, (f"{keep} string, " if keep else "") + "row_id long, words array<long>")
 
 
 def frequent_words(sets: DataFrame, limit: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -170,11 +179,14 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
     first = np.cumsum(probe) - probe
     pos = np.arange(len(rec)) - first[rec]
     code = codes[starts[rec] + pos]
-    est = coder.share(code)
-    if coder.complete:
-        shared = (code >= 0) & (est * coder.rows > 1.5)
-        rec, pos, code, est = rec[shared], pos[shared], code[shared], est[shared]
+    if coder.complete:  # a word of one row has no partner
+        shared = code >= np.searchsorted(coder.counts, 2)
+        rec, pos, code = rec[shared], pos[shared], code[shared]
     key = _mix(np.zeros(len(rec), np.uint64), code)
+    big = code >= np.searchsorted(coder.counts, MAX_TASK_ROWS, "right")
+    if not big.any():
+        return rec, key, pos, np.ones(len(rec), np.int64)
+    est = coder.share(code)
     out = []
     for depth in range(1, MAX_DEPTH + 1):
         big = (est * coder.rows > MAX_TASK_ROWS) if depth < MAX_DEPTH else np.zeros(len(rec), bool)
@@ -187,6 +199,15 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _row_order(codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The order that sorts codes within each row: one sort by row number and the codes' leading bits."""
+    owner = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
+    if len(lens) >= 1 << 15:
+        return np.lexsort((codes, owner))
+    lead = np.where(codes >= 0, codes.view(np.uint64) | np.uint64(1 << 47), (codes.view(np.uint64) & np.uint64(2**63 - 1)) >> np.uint64(16))
+    return np.argsort(owner << np.uint64(48) | lead, kind="stable")
+
+
 def _pack(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> bytes:
     """Columns of a block: byte planes keep the many zero bytes of small codes together."""
     planes = np.ascontiguousarray(codes.astype("<i8").view(np.uint8).reshape(-1, 8).T)
@@ -235,6 +256,8 @@ class _Local:
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         """Compare pairs exactly and join those alike."""
+        once = np.unique(np.minimum(i, j) * len(self.ids) + np.maximum(i, j))
+        i, j = once // len(self.ids), once % len(self.ids)
         for at in range(0, len(i), 1 << 17):
             a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
             pair = np.arange(len(a), dtype=np.uint64) << np.uint64(44)
@@ -375,7 +398,7 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
     hashes, counts, rows = frequent_words(sets)
     shared = spark.sparkContext.broadcast((hashes, counts, rows))
     mean_prefix = 1 + (like.den - like.num) * (int(counts.sum()) / max(rows, 1)) / like.den
-    parts = max(8, int(rows * mean_prefix / MAX_TASK_ROWS) + 1)
+    parts = max(MIN_PARTS, int(rows * mean_prefix / MAX_TASK_ROWS) + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value)
@@ -389,9 +412,7 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
             lists = batch.column(1)
             lens = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             flat = coder.encode(lists.flatten().to_numpy())
-            owner = np.repeat(np.arange(len(ids)), lens)
-            order = np.lexsort((flat, owner))
-            codes = flat[order]
+            codes = flat[_row_order(flat, lens)]
             starts = np.cumsum(lens) - lens
             keep, copy_id, copy_rep = [], [], []
             raw = memoryview(codes.tobytes())
@@ -430,6 +451,8 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         got = [_unpack(b) for b in table.column("block").to_pylist()]
         ids, lens, codes = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(ids)  # so that groups are led by their smallest ids in every task
+        codes, ids, lens = codes[_gather(np.cumsum(lens) - lens, lens, order)], ids[order], lens[order]
         a, b, w = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": w})
 

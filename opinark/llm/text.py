@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 #: A word: a longest run of letters and digits, in lower case, after removing apostrophes.
 WORD = re.compile(r"[^\W_]+")
-_APOSTROPHES = str.maketrans("", "", "'’")
 TAG = re.compile(r"<[^<>]*>")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower().translate(_APOSTROPHES))
+    return WORD.findall(text.lower().replace("'", "").replace("’", ""))
 
 
 def word_count(text: Column) -> Column:
