@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from opinark.llm import components, copies, cutoffs, leakage, sentences, setjoin, spectral
+from opinark.llm import components, copies, cutoffs, leakage, overlap, packing, sentences, setjoin, spectral, variety
 from opinark.plans.registry import Registry
-from opinark.runtime import cut, item_key, table
+from opinark.runtime import cut, item_key, name_key, table
 
 llm = Registry()
 
@@ -194,3 +194,83 @@ def p10_languages(spark, sf_dir):
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_sentences"), F.round(F.avg(F.col("char_end") - F.col("char_start")), 6).alias("mean_chars")
     )
+
+
+# Problem 5
+
+
+def _overlaps(spark, sf_dir):
+    """Row-level (train_row_id, eval_row_id, eval_split, likeness, coverage)."""
+    rows = table(spark, sf_dir, "seed_42").withColumn("split_key", F.lower(F.trim("split")))
+    side = F.when(F.col("split_key") == "train", 0).when(F.col("split_key").isin("validation", "test"), 1)
+    seqs, members = overlap.word_sequences(rows, "row_id", "sentence_text", side)
+    pairs = overlap.overlaps(seqs)
+    train = members.where("side = 0").select(F.col("seq_id").alias("a"), F.col("row_id").alias("train_row_id"))
+    held = members.where("side = 1").select(F.col("seq_id").alias("b"), F.col("row_id").alias("eval_row_id"))
+    return pairs.join(train, "a").join(held, "b").select("train_row_id", "eval_row_id", "likeness", "coverage")
+
+
+@llm.query("p5_found")
+def p5_found(spark, sf_dir):
+    found = _overlaps(spark, sf_dir)
+    return found.select(F.least("train_row_id", "eval_row_id").alias("row_id_a"), F.greatest("train_row_id", "eval_row_id").alias("row_id_b"))
+
+
+@llm.query("p5_report")
+def p5_report(spark, sf_dir):
+    """Per held-out split and category: its records, those that overlap train, pairs, and mean coverage."""
+    rows = table(spark, sf_dir, "seed_42").select(F.col("row_id").alias("eval_row_id"), F.lower(F.trim("split")).alias("split"), name_key("category_name").alias("category"))
+    held = rows.where(F.col("split").isin("validation", "test"))
+    per_row = _overlaps(spark, sf_dir).groupBy("eval_row_id").agg(F.count("*").alias("pairs"), F.max("coverage").alias("coverage"))
+    return held.join(per_row, "eval_row_id", "left").groupBy("split", "category").agg(
+        F.count("*").alias("n_records"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
+
+
+# Problem 3
+
+
+def _subset(spark, sf_dir):
+    rows, targets = table(spark, sf_dir, "reviews_cleaning2"), table(spark, sf_dir, "subset_targets")
+    return variety.varied_subset(rows.select("row_id", "sentence_text", "category_name"), targets, "row_id", "sentence_text", "category_name", "category_name", "n_wanted")
+
+
+@llm.query("p3_subset")
+def p3_subset(spark, sf_dir):
+    texts = table(spark, sf_dir, "reviews_cleaning2").select("row_id", "sentence_text")
+    chosen = _subset(spark, sf_dir).withColumn("gain", F.round("gain", 6))
+    return texts.join(F.broadcast(chosen), "row_id").select(F.col("source").alias("category_name"), "place", "row_id", "gain", "sentence_text")
+
+
+# Problem 8
+
+#: The rank file that packs are measured with; another path may be set in the environment.
+TOKENIZER_ENV = "OPINARK_TOKENIZER"
+
+
+def _tokenizer():
+    import os
+
+    import public_tokenizers
+
+    return os.environ.get(TOKENIZER_ENV) or str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def _packs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = [(r["pack_name"], int(r["capacity_tokens"])) for r in table(spark, sf_dir, "pack_sizes").orderBy("pack_name").limit(100).collect()]
+    return packing.pack(docs, "doc_id", "text", sizes, *_tokenizer())
+
+
+@llm.query("p8_packs")
+def p8_packs(spark, sf_dir):
+    return packing.pack_rows(_packs(spark, sf_dir))
+
+
+@llm.query("p8_fill")
+def p8_fill(spark, sf_dir):
+    """Packs of each size, the least number that could do, and the share of room used."""
+    packs = _packs(spark, sf_dir)
+    return packs.groupBy("pack_name", "capacity").agg(
+        F.count("*").alias("n_packs"), F.ceil(F.sum("load") / F.first("capacity")).alias("n_least"), F.sum("load").alias("n_tokens"), F.round(F.sum("load") / F.sum("capacity"), 6).alias("fill")
+    )
