@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("packed",)
+MODULES = ("packed", "cleaning")
 
 
 def load():
