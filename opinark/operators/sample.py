@@ -41,11 +41,12 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, shares: Seq
     counts = ranged.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*strata))).drop("_n")
-    same = [ranged[c].eqNullSafe(offsets[c]) for c in (*strata, "_range")]
-    placed = ranged.join(offsets, same).select(*(ranged[c] for c in ranged.columns), "_before", "_total")
+    offsets = offsets.select(*(F.col(c).alias(f"_o_{c}") for c in (*strata, "_range")), "_before", "_total")
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*strata, "_range")]
+    placed = ranged.join(offsets, same).drop(*(f"_o_{c}" for c in (*strata, "_range")))
     inner = Window.partitionBy(*strata, "_range").orderBy("_h", key)
     rank = F.col("_before") + F.row_number().over(inner) - 1
-    label, low = F.lit(shares[-1][0]), 0.0
+    label = F.lit(shares[-1][0])
     for name, share in reversed(list(_upper(shares))[:-1]):
         label = F.when(rank < F.round(F.col("_total") * share), name).otherwise(label)
     return placed.withColumn(into, label).drop("_h", "_range", "_before", "_total")

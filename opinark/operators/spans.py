@@ -71,7 +71,17 @@ def confidence_weight(confidence: Column, gold: Column, floor: float = 0.85, low
     return F.when(gold, 1.0).otherwise(low + (c - floor) / (1.0 - floor) * (high - low))
 
 
-_LABELLED = "array<struct<label:string,weight:double>>"
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: an expression inside a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(norm: Column, words: Column) -> Column:
+    """Places where the words stand in a row of tokens in normal form; none for no words."""
+    n = F.size(words)
+    last = F.size(norm) - n
+    first = F.get(words, F.lit(0))
+    return F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (n > 0) & (s <= last) & (F.get(norm, s) == first) & (F.slice(norm, s + 1, n) == words))
 
 
 def label_tokens(tokens: Column | str, aspects: Column | str, confidences: Column | str | None = None, first_only: bool = False) -> Column:
@@ -79,40 +89,44 @@ def label_tokens(tokens: Column | str, aspects: Column | str, confidences: Colum
 
     Tokens are compared in the normal form of aspects. first_only labels the first place alone.
     """
-    ts = _c(tokens)
     asp = F.coalesce(_c(aspects), F.array().cast("array<string>"))
     conf = F.coalesce(_c(confidences), F.array().cast("array<double>")) if confidences is not None else F.array().cast("array<double>")
-    norm = F.transform(ts, lambda t: X.normalize_aspect(t))
-    gold = is_gold(conf)
-    start = F.transform(ts, lambda t: F.struct(F.lit(O).alias("label"), F.when(gold, 1.0).otherwise(0.15).alias("weight")))
-    numbered = F.transform(asp, lambda a, i: F.struct(X.unicode_tokens(X.normalize_aspect(a)).alias("words"), F.get(conf, i).alias("conf")))
+    norm = F.transform(_c(tokens), lambda t: X.normalize_aspect(t))
+    listed = F.transform(asp, lambda a, k: F.struct(k.alias("k"), X.unicode_tokens(X.normalize_aspect(a)).alias("words"), F.get(conf, k).alias("conf")))
+
+    def hits(norm: Column, listed: Column) -> Column:
+        def of(a: Column) -> Column:
+            starts = _starts(norm, a["words"])
+            if first_only:
+                starts = F.slice(starts, 1, 1)
+            return F.transform(starts, lambda s: F.struct(a["k"].alias("k"), s.alias("s"), F.size(a["words"]).alias("n"), a["conf"].alias("conf")))
 
-    def apply(state: Column, a: Column) -> Column:
-        n = F.size(a["words"])
-        last = F.size(ts) - n
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (s <= last) & (F.slice(norm, s + 1, n) == a["words"]))
-        starts = F.slice(starts, 1, 1) if first_only else starts
+        return F.flatten(F.transform(listed, of))
 
-        def relabel(x: Column, i: Column) -> Column:
-            covering = F.array_max(F.filter(starts, lambda s: (s <= i) & (i < s + n)))
-            return F.when(covering.isNull(), x).otherwise(F.struct(F.when(covering == i, B).otherwise(I).alias("label"), confidence_weight(a["conf"], gold).alias("weight")))
+    def label(norm: Column, found: Column, gold: Column) -> Column:
+        def of(i: Column) -> Column:
+            over = F.array_max(F.filter(found, lambda h: (h["s"] <= i) & (i < h["s"] + h["n"])))
+            return let(
+                over,
+                lambda h: F.struct(
+                    F.when(h.isNull(), O).when(h["s"] == i, B).otherwise(I).alias("label"),
+                    F.when(h.isNull(), F.when(gold, 1.0).otherwise(0.15)).otherwise(confidence_weight(h["conf"], gold)).alias("weight"),
+                ),
+            )
 
-        return F.when(n == 0, state).otherwise(F.transform(state, relabel))
+        return F.when(F.size(norm) > 0, F.transform(F.sequence(F.lit(0), F.size(norm) - 1), of)).otherwise(F.array().cast("array<struct<label:string,weight:double>>"))
 
-    return F.aggregate(numbered, start.cast(_LABELLED), lambda s, a: apply(s, a).cast(_LABELLED))
+    return let(norm, lambda n: let(let(listed, lambda ls: hits(n, ls)), lambda h: let(is_gold(conf), lambda g: label(n, h, g))))
 
 
 def unmatched_aspects(tokens: Column | str, aspects: Column | str) -> Column:
     """The aspects whose tokens stand nowhere in the sentence; aspects without tokens are neither."""
     norm = F.transform(_c(tokens), lambda t: X.normalize_aspect(t))
 
-    def missing(a: Column) -> Column:
-        words = X.unicode_tokens(X.normalize_aspect(a))
-        n = F.size(words)
-        last = F.size(norm) - n
-        return (n > 0) & ~F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda s: (s <= last) & (F.slice(norm, s + 1, n) == words))
+    def missing(norm: Column, a: Column) -> Column:
+        return let(X.unicode_tokens(X.normalize_aspect(a)), lambda words: (F.size(words) > 0) & (F.size(_starts(norm, words)) == 0))
 
-    return F.filter(F.coalesce(_c(aspects), F.array().cast("array<string>")), missing)
+    return let(norm, lambda n: F.filter(F.coalesce(_c(aspects), F.array().cast("array<string>")), lambda a: missing(n, a)))
 
 
 def first_subtoken(word_ids: Column | str, values: Column | str) -> Column:

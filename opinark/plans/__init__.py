@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("packed", "cleaning")
+MODULES = ("packed", "cleaning", "profiling", "labelling")
 
 
 def load():
