@@ -12,8 +12,8 @@ are connected already are not compared again. A group of look-alikes of any size
 one comparison and one link per row and task rather than one per pair, and no link between
 separate groups is ever lost. Exact copies collapse map-side to one row per map task first.
 
-Rows travel once per prefix partition as compressed column blocks. Word sets longer than
-MAX_TASK_ROWS rows' worth of a hot word are spread by word pairs, triples and so on up to MAX_DEPTH.
+Rows travel once per prefix partition as compressed column blocks. Rows that would meet by a word
+of more than MAX_TASK_ROWS rows meet by pairs of words instead, by triples, and so on.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from opinark.llm.text import words
 from opinark.runtime import cut
 
 TOP_WORDS = 60_000
-MAX_TASK_ROWS = 200_000
+MAX_TASK_ROWS = 100_000
 MAX_DEPTH = 6
 #: Partitions at least, so that a row goes to as many of them in small tables as in large ones.
-MIN_PARTS = 48
+MIN_PARTS = 96
 #: Groups up to this size are compared pair by pair; larger ones are split by a further word.
 SMALL_GROUP = 40
 _SIGN = np.int64(-(2**63))
@@ -209,19 +209,26 @@ def _row_order(codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _pack(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> bytes:
-    """Columns of a block: byte planes keep the many zero bytes of small codes together."""
-    planes = np.ascontiguousarray(codes.astype("<i8").view(np.uint8).reshape(-1, 8).T)
-    raw = np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + lens.astype("<i4").tobytes() + planes.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Columns of a block: frequent words in two bytes, apart by plane; zero stands for a word listed after them."""
+    common = np.where(codes >= 0, codes + 1, 0).astype("<u2")
+    planes = np.ascontiguousarray(common.view(np.uint8).reshape(-1, 2).T)
+    rare = codes[codes < 0]
+    raw = np.array([len(ids), len(codes)], "<i8").tobytes() + ids.astype("<i8").tobytes() + rare.astype("<i8").tobytes() + lens.astype("<i4").tobytes() + planes.tobytes()
+    return np.array([len(rare)], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    ids = np.frombuffer(raw, "<i8", n, 8)
-    lens = np.frombuffer(raw, "<i4", n, 8 + 8 * n).astype(np.int64)
-    planes = np.frombuffer(raw, np.uint8, -1, 8 + 12 * n).reshape(8, -1)
-    return ids, lens, np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+    n_rare = int(np.frombuffer(block, "<i8", 1)[0])
+    raw = zstandard.ZstdDecompressor().decompress(memoryview(block)[8:])
+    n, n_codes = np.frombuffer(raw, "<i8", 2).tolist()
+    ids = np.frombuffer(raw, "<i8", n, 16)
+    rare = np.frombuffer(raw, "<i8", n_rare, 16 + 8 * n)
+    at = 16 + 8 * (n + n_rare)
+    lens = np.frombuffer(raw, "<i4", n, at).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, 2 * n_codes, at + 4 * n).reshape(2, -1)
+    codes = np.ascontiguousarray(planes.T).view("<u2").reshape(-1).astype(np.int64) - 1
+    codes[codes < 0] = rare
+    return ids, lens, codes
 
 
 def _gather(starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -295,7 +302,7 @@ class _Local:
         """All comparisons within the groups of equal key, all at the same depth."""
         if len(rec) < 2:
             return
-        if len(rec) > 1 << 21:  # by ranges of the key, to bound memory
+        if len(rec) > 1 << 20:  # by ranges of the key, to bound memory
             side = key >> np.uint64(63 - depth % 8) & np.uint64(1)
             for s in (0, 1):
                 half = side == s
@@ -311,7 +318,11 @@ class _Local:
         new = np.append(True, group_key[1:] != group_key[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(rec)))
-        group = np.cumsum(new) - 1
+        many = np.repeat(size > 1, size)
+        rec, key, pos, new = rec[many], key[many], pos[many], new[many]
+        if not len(rec):
+            return
+        first, size, group = np.flatnonzero(new), size[size > 1], np.cumsum(new) - 1
         # the star of each group's first record, then groups that are one already are done
         lead = rec[first][group]
         ok = self.maybe(lead, rec)
@@ -320,7 +331,7 @@ class _Local:
         label = self.label[rec]
         mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
         indexed = np.logical_or.reduceat(pos < self.index[rec] + depth - 1, first)
-        live = (mixed & indexed & (size > 1))[group]
+        live = (mixed & indexed)[group]
         small = live & (size <= SMALL_GROUP)[group]
         self.pairs(rec[small], group[small])
         large = live & ~small
@@ -328,7 +339,7 @@ class _Local:
         if not len(rec):
             return
         end = np.minimum(self.probe + depth, self.lens)
-        step = 1 << 17
+        step = 1 << 16
         cuts = [0]
         while cuts[-1] < len(rec):  # whole groups together
             k = min(cuts[-1] + step, len(rec))

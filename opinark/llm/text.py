@@ -12,7 +12,13 @@ WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"<[^<>]*>")
 
 
+#: For ASCII text, words in one pass: letters and digits in lower case, no apostrophes, all else a space.
+_ASCII_WORDS = {c: (chr(c).lower() if chr(c).isalnum() else None if chr(c) == "'" else " ") for c in range(128)}
+
+
 def words(text: str) -> list[str]:
+    if text.isascii():
+        return text.translate(_ASCII_WORDS).split()
     return WORD.findall(text.lower().replace("'", "").replace("’", ""))
 
 
