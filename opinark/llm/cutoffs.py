@@ -12,6 +12,8 @@ kept; a source without scored rows has no cutoff; a fraction of 0 keeps nothing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,12 @@ from opinark.runtime import cut, discard, lookup_join, name_key
 MAX_ROUNDS = 64
 
 
-def scored_rows(rows: DataFrame, targets: DataFrame, source: str, score: str, target_source: str, fraction: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """The scored rows with source_key, score_value and, from targets, source_name and fraction."""
+def scored_rows(rows: DataFrame, targets: DataFrame, source: str, score: str, target_source: str, fraction: str, keep: Sequence[str] = ("row_id",), low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """The scored rows: the columns of keep, source_key, score_value and, from targets, source_name and fraction."""
     wanted = targets.select(name_key(target_source).alias("source_key"), F.col(target_source).alias("source_name"), F.col(fraction).alias("fraction"))
     value = F.col(score)
     valid = value.isNotNull() & ~F.isnan(value) & value.between(low, high)
-    kept = rows.where(F.col(source).isNotNull() & valid).withColumns({"source_key": name_key(source), "score_value": value})
+    kept = rows.where(F.col(source).isNotNull() & valid).select(*keep, name_key(source).alias("source_key"), value.alias("score_value"))
     return lookup_join(kept, wanted, ["source_key"])
 
 

@@ -14,6 +14,7 @@ match nothing; items that share a passage are each reported; repeated documents
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,8 +127,8 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     for block in item_blocks(items, item_id, item_text, min_words):
         shared = spark.sparkContext.broadcast(block)
 
-        def read(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared, min_words)
+        def read(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(name, shared, min_words)
             for pdf in batches:
                 rows = []
                 for d, t in zip(pdf["d"], pdf["t"]):
@@ -148,16 +149,15 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-_built: dict[int, SuffixAutomaton] = {}
+_built: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(shared, min_words: int) -> SuffixAutomaton:
+def _automaton(name: str, shared, min_words: int) -> SuffixAutomaton:
     """The block's automaton, built once in each Python worker."""
-    key = (shared._jid if hasattr(shared, "_jid") else id(shared), min_words)
-    if key not in _built:
+    if name not in _built:
         _built.clear()
-        _built[key] = SuffixAutomaton(shared.value, min_words)
-    return _built[key]
+        _built[name] = SuffixAutomaton(shared.value, min_words)
+    return _built[name]
 
 
 def clean_text(text: str, spans: list[tuple[int, int]]) -> str:

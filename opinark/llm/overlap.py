@@ -7,7 +7,9 @@ stock phrases are selected only where a window holds nothing rarer; the counts o
 frequent hashes are exact and broadcast in a table of fixed size, all others count as rare.
 
 Selected hashes are joined across splits on distinct word sequences, to which copies rejoin at the
-end. The likeness of the word sets then decides exactly; for pairs that have it the seeds are
+end. With each hash goes a 64-bit sketch of the record's word set and its size: pairs whose sketches
+differ in more bits than the likeness allows words are dropped inside the join, so that almost only
+true pairs leave it. The likeness of the word sets then decides exactly; for pairs that have it the seeds are
 chained collinearly, extended by alignment (longest common subsequence of words between them), and
 reported as coverage. What is found for certain: all pairs that share a run of RUN_WORDS + WINDOW - 1
 = 6 words, and of sequences under SHORT_WORDS words all that share two words in a row.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from opinark.llm.text import words
 from opinark.runtime import cut
 
-RUN_WORDS = 3
-WINDOW = 4
+RUN_WORDS = 4
+WINDOW = 3
 #: Sequences of fewer words also meet by all runs of SHORT_RUN words: few changes can break all longer runs.
 SHORT_WORDS = 15
 SHORT_RUN = 2
@@ -101,7 +103,7 @@ def word_sequences(rows: DataFrame, row_id: str, text: str, side: F.Column, min_
 
 
 def fingerprints(seqs: DataFrame, k: int = RUN_WORDS, window: int = WINDOW) -> DataFrame:
-    """(side, seq_id, hash, place): the selected hashes and where their runs begin."""
+    """(side, seq_id, hash, place, n, sketch): the selected hashes and where their runs begin; size and sketch of the word set."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, hashes in _hashes_of(batches, "seq", k):
@@ -117,9 +119,15 @@ def fingerprints(seqs: DataFrame, k: int = RUN_WORDS, window: int = WINDOW) -> D
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
+        bits = _Words()
         for pdf, found in _hashes_of(batches, "seq", k):
-            sides, ids, hs, place = [], [], [], []
-            for side, i, h in zip(pdf["side"], pdf["seq_id"], found):
+            sides, ids, hs, place, sizes, sketches = [], [], [], [], [], []
+            for side, i, h, seq in zip(pdf["side"], pdf["seq_id"], found, pdf["seq"]):
+                distinct = set(seq.split(" "))
+                sketch = 0
+                for w in distinct:
+                    sketch |= 1 << (bits[w] & 63)
+                sketch -= (sketch >> 63) << 64
                 order = np.ones(len(h), np.int64)
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -129,16 +137,23 @@ def fingerprints(seqs: DataFrame, k: int = RUN_WORDS, window: int = WINDOW) -> D
                     ids.append(i)
                     hs.append(h[p])
                     place.append(p)
-            yield pd.DataFrame({"side": sides, "seq_id": ids, "hash": hs, "place": place}).astype({"side": "int32", "seq_id": "int64", "hash": "int64", "place": "int32"})
+                    sizes.append(len(distinct))
+                    sketches.append(sketch)
+            types = {"side": "int32", "seq_id": "int64", "hash": "int64", "place": "int32", "n": "int32", "sketch": "int64"}
+            yield pd.DataFrame({"side": sides, "seq_id": ids, "hash": hs, "place": place, "n": sizes, "sketch": sketches}).astype(types)
 
-    return seqs.select("side", "seq_id", "seq").mapInPandas(select, "side int, seq_id long, hash long, place int")
+    return seqs.select("side", "seq_id", "seq").mapInPandas(select, "side int, seq_id long, hash long, place int, n int, sketch long")
 
 
-def seed_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b, seeds): pairs of sequences of sides 0 and 1 with a common selected hash, and where it stands."""
-    left = prints.where("side = 0").select("hash", F.col("seq_id").alias("a"), F.col("place").alias("pa"))
-    right = prints.where("side = 1").select("hash", F.col("seq_id").alias("b"), F.col("place").alias("pb"))
-    both = left.join(right, "hash")
+def seed_pairs(prints: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
+    """(a, b, seeds): pairs of sequences of sides 0 and 1 with a common selected hash, and where it stands.
+
+    Only pairs whose sizes and sketches allow a likeness of num/den.
+    """
+    left = prints.where("side = 0").select("hash", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = prints.where("side = 1").select("hash", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    most = F.expr(f"(na + nb) - 2 * ((({num} * (na + nb)) + {num + den - 1}) div {num + den})")
+    both = left.join(right, "hash").where(F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= most)
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("pa", "pb"))).alias("seeds"))
 
 
@@ -196,8 +211,8 @@ def overlaps(seqs: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     coverage is the share of b's words aligned with a.
     """
     short = seqs.where(F.size(F.split("seq", " ")) < SHORT_WORDS)
-    long_seeds = seed_pairs(cut(fingerprints(seqs), "fingerprints"))
-    short_seeds = seed_pairs(cut(fingerprints(short, SHORT_RUN, 1), "fingerprints"))
+    long_seeds = seed_pairs(cut(fingerprints(seqs), "fingerprints"), num, den)
+    short_seeds = seed_pairs(cut(fingerprints(short, SHORT_RUN, 1), "fingerprints"), num, den)
     pairs = long_seeds.select("a", "b", "seeds", F.lit(RUN_WORDS).alias("k")).unionByName(short_seeds.select("a", "b", "seeds", F.lit(SHORT_RUN).alias("k")))
     pairs = pairs.groupBy("a", "b").agg(F.max_by(F.struct("seeds", "k"), "k").alias("s")).select("a", "b", "s.seeds", "s.k")
     texts = seqs.select("side", "seq_id", "seq")
