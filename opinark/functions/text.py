@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinark import lexicons
 
@@ -58,10 +59,13 @@ def strip_tags(c: Column | str, by: str = " ") -> Column:
     return F.regexp_replace(_c(c), r"<[^>]+>", by)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(c: Column | str) -> Column:
     """Unicode compatibility normal form; the one step that Catalyst has no expression for."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    def normalize(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.pandas_udf(normalize, T.StringType())(_c(c))
 
 
 def clean_html(c: Column | str, normalize: bool = True) -> Column:

@@ -116,6 +116,9 @@ def json_field_paths(df: DataFrame, column: str) -> DataFrame:
             elif isinstance(v, list):
                 stack.extend((x, f"{at}__list_of") for x in v)
 
+    def frame(seen: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"field": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for pdf in batches:
@@ -125,9 +128,10 @@ def json_field_paths(df: DataFrame, column: str) -> DataFrame:
                 except (ValueError, TypeError):
                     continue
             if len(seen) > 100_000:
-                yield pd.DataFrame({"field": list(seen), "n": list(seen.values())})
+                yield frame(seen)
                 seen = Counter()
-        yield pd.DataFrame({"field": list(seen), "n": pd.Series(list(seen.values()), dtype="int64")})
+        if seen:
+            yield frame(seen)
 
     return df.where(F.col(column).isNotNull()).select(F.col(column).alias("t")).mapInPandas(count, "field string, n long").groupBy("field").agg(F.sum("n").alias("n"))
 

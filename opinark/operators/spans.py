@@ -132,7 +132,7 @@ def unmatched_aspects(tokens: Column | str, aspects: Column | str) -> Column:
 def first_subtoken(word_ids: Column | str, values: Column | str) -> Column:
     """One value per word: that of its first sub-token; sub-tokens without word are left out."""
     pairs = F.arrays_zip(_c(word_ids).alias("w"), _c(values).alias("v"))
-    kept = F.filter(pairs, lambda p, i: p["w"].isNotNull() & ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["w"] == p["w"]))
+    kept = F.filter(pairs, lambda p, i: p["w"].isNotNull() & ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["w"].eqNullSafe(p["w"])))
     return F.transform(kept, lambda p: p["v"])
 
 

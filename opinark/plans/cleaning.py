@@ -63,25 +63,25 @@ def _reviews(spark, sf_dir):
 
 
 def _text_query(name, column, sql):
-    """A query of one text function over reviews: (review_id, parent_asin, value)."""
-    core.query(name, f"SELECT review_id, parent_asin, {sql} AS value FROM reviews")(lambda spark, d: _reviews(spark, d).select("review_id", "parent_asin", column.alias("value")))
-
-
-_text_query("c1_concat_text", X.concat_text("title", "text"), _CONCAT)
-_text_query("c2_merge_text", X.merge_text("title", "text"), _MERGE)
-_text_query("c5a_whitelist_lower", X.whitelist_lower("text"), _LOWER.format("text"))
-_text_query("c5b_whitelist_keep_case", X.whitelist_keep_case("text"), _KEEP.format("text"))
-_text_query("c5c_whitelist_unicode", X.whitelist_unicode("text"), _UNI.format("text"))
-_text_query("c7_drop_br", X.drop_br("text"), _collapse("regexp_replace(text, '\\bbr\\b', ' ', 'g')"))
-_text_query("c8_expand_substrings", X.expand_substrings("text"), _substrings("lower(text)"))
-_text_query("c9_expand_words", X.expand_words("text"), _expand_words("lower(text)"))
-_text_query("c17_clean_text", X.clean_text("text"), _collapse("coalesce(text, '')"))
-_text_query("c18_clean_gold", X.clean_gold("text"), _collapse("regexp_replace(regexp_replace(replace(text, '[GENERIC_NOUN]', ' '), '(?i)<br\\s*/?>', ' ', 'g'), '\\bbr\\b', ' ', 'g')"))
-_text_query("c19_normalize_span", X.normalize_span("title"), "trim(" + _collapse("title") + ", ' ' || chr(9) || chr(10) || chr(13) || '.,;:!?()[]{}\"''`')")
-_text_query("c20a_normalize_aspect_ascii", X.normalize_aspect("title", "ascii"), _collapse("regexp_replace(title, '[^a-z0-9\\s]+', ' ', 'g')"))
-_text_query("c20b_normalize_aspect_unicode", X.normalize_aspect("title", "unicode"), _collapse("regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]+', ' ', 'g')"))
-_text_query("c20c_normalize_aspect_gold", X.normalize_aspect("title", "gold"), _collapse("regexp_replace(" + _collapse("regexp_replace(regexp_replace(replace(lower(title), '[GENERIC_NOUN]', ' '), '(?i)<br\\s*/?>', ' ', 'g'), '\\bbr\\b', ' ', 'g')") + ", '[^a-z0-9\\s]+', ' ', 'g')"))
-_text_query("c50_fill_blank", X.fill_blank("title", "untitled"), "coalesce(nullif(trim(title), ''), 'untitled')")
+    """A query of one text function over reviews: (review_id, parent_asin, value). column is called when the query runs."""
+    core.query(name, f"SELECT review_id, parent_asin, {sql} AS value FROM reviews")(lambda spark, d: _reviews(spark, d).select("review_id", "parent_asin", column().alias("value")))
+
+
+_text_query("c1_concat_text", lambda: X.concat_text("title", "text"), _CONCAT)
+_text_query("c2_merge_text", lambda: X.merge_text("title", "text"), _MERGE)
+_text_query("c5a_whitelist_lower", lambda: X.whitelist_lower("text"), _LOWER.format("text"))
+_text_query("c5b_whitelist_keep_case", lambda: X.whitelist_keep_case("text"), _KEEP.format("text"))
+_text_query("c5c_whitelist_unicode", lambda: X.whitelist_unicode("text"), _UNI.format("text"))
+_text_query("c7_drop_br", lambda: X.drop_br("text"), _collapse("regexp_replace(text, '\\bbr\\b', ' ', 'g')"))
+_text_query("c8_expand_substrings", lambda: X.expand_substrings("text"), _substrings("lower(text)"))
+_text_query("c9_expand_words", lambda: X.expand_words("text"), _expand_words("lower(text)"))
+_text_query("c17_clean_text", lambda: X.clean_text("text"), _collapse("coalesce(text, '')"))
+_text_query("c18_clean_gold", lambda: X.clean_gold("text"), _collapse("regexp_replace(regexp_replace(replace(text, '[GENERIC_NOUN]', ' '), '(?i)<br\\s*/?>', ' ', 'g'), '\\bbr\\b', ' ', 'g')"))
+_text_query("c19_normalize_span", lambda: X.normalize_span("title"), "trim(" + _collapse("title") + ", ' ' || chr(9) || chr(10) || chr(13) || '.,;:!?()[]{}\"''`')")
+_text_query("c20a_normalize_aspect_ascii", lambda: X.normalize_aspect("title", "ascii"), _collapse("regexp_replace(title, '[^a-z0-9\\s]+', ' ', 'g')"))
+_text_query("c20b_normalize_aspect_unicode", lambda: X.normalize_aspect("title", "unicode"), _collapse("regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]+', ' ', 'g')"))
+_text_query("c20c_normalize_aspect_gold", lambda: X.normalize_aspect("title", "gold"), _collapse("regexp_replace(" + _collapse("regexp_replace(regexp_replace(replace(lower(title), '[GENERIC_NOUN]', ' '), '(?i)<br\\s*/?>', ' ', 'g'), '\\bbr\\b', ' ', 'g')") + ", '[^a-z0-9\\s]+', ' ', 'g')"))
+_text_query("c50_fill_blank", lambda: X.fill_blank("title", "untitled"), "coalesce(nullif(trim(title), ''), 'untitled')")
 
 
 @core.query("c6_strip_html", "SELECT doc_id, " + _collapse("regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9_\\s.,!?;:()/-]', '', 'g')") + " AS value FROM documents")

@@ -9,8 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_SIMPLE = {"string": T.StringType, "double": T.DoubleType, "float": T.FloatType, "bigint": T.LongType, "int": T.IntegerType, "boolean": T.BooleanType}
+
+
+def _parts(text: str) -> list[str]:
+    """Split at commas outside angle brackets."""
+    out, depth, start = [], 0, 0
+    for k, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(text[start:k])
+            start = k + 1
+    return [*out, text[start:]]
+
+
+def _type(text: str) -> T.DataType:
+    """A type from its short form; needs no session, unlike Spark's own parser."""
+    text = text.strip()
+    kind, _, inner = text.partition("<")
+    if not inner:
+        return _SIMPLE[text]()
+    parts = _parts(inner[:-1])
+    if kind == "array":
+        return T.ArrayType(_type(inner[:-1]))
+    if kind == "map":
+        return T.MapType(_type(parts[0]), _type(parts[1]))
+    return T.StructType([T.StructField(n.strip(), _type(t)) for n, _, t in (p.partition(":") for p in parts)])
+
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _type(t)) for n, _, t in (p.strip().partition(" ") for p in _parts(columns))])
 
 
 IMAGES = "array<struct<small_image_url:string,medium_image_url:string,large_image_url:string,attachment_type:string>>"
