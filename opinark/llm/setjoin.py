@@ -244,9 +244,9 @@ class _Local:
     def __init__(self, ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness) -> None:
         self.ids, self.lens, self.codes, self.coder, self.like = ids, lens, codes, coder, like
         self.starts = np.cumsum(lens) - lens
-        h = _mix(np.zeros(len(codes), np.uint64), codes)
         one = np.uint64(1)
-        self.bits = [np.bitwise_or.reduceat(one << ((h >> np.uint64(s)) & np.uint64(63)), self.starts) for s in (0, 8)] if len(ids) else []
+        h = (codes.view(np.uint64) * _MIX[0]) >> np.uint64(52)  # twelve bits: one of 64 places in each of two sketches
+        self.bits = [np.bitwise_or.reduceat(one << x, self.starts) for x in (h >> np.uint64(6), h & np.uint64(63))] if len(ids) else []
         self.short = np.where(codes >= 0, codes.view(np.uint64), _RARE_KEY | (codes.view(np.uint64) & (_RARE_KEY - one)))
         self.probe, self.index = like.probe(lens), like.index(lens)
         self.label, self.remap = np.arange(len(ids)), np.arange(len(ids))
