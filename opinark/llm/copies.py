@@ -46,7 +46,7 @@ def canonical_fields(text: Column) -> Column:
     return F.when(labelled, F.array_join(F.array_sort(F.transform(fields, canonical_text)), "\n"))
 
 
-def keyed_rows(rows: DataFrame, row_id: str, text: str, min_words: int = 5, buckets: int = 64) -> DataFrame:
+def keyed_rows(rows: DataFrame, row_id: str, text: str, min_words: int = 5, buckets: int = 32) -> DataFrame:
     """(row_id, bucket, linear_key, field_key) of the rows with a record."""
     t = F.col(text)
     has_cuts = F.regexp_like(t, F.lit("[;|].*:|:.*[;|]"))
@@ -62,12 +62,9 @@ def aggregate_batch(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket", "linear_key", "field_key").agg(F.count("*").alias("n_copies"), F.min("row_id").alias("first_row_id"))
 
 
-def merge_batch(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The ledger after one more batch of keyed rows."""
-    new = aggregate_batch(batch)
-    if ledger is None:
-        return new.select(*LEDGER.fieldNames())
-    old, new = ledger.alias("o"), new.alias("n")
+def merge_batch(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """The ledger's buckets after one more aggregated batch: counts added, the earliest row kept."""
+    old, new = ledger.alias("o"), batch.alias("n")
     same = (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.linear_key") == F.col("n.linear_key")) & F.col("o.field_key").eqNullSafe(F.col("n.field_key"))
     merged = old.join(new, same, "full_outer")
     return merged.select(
@@ -78,19 +75,46 @@ def merge_batch(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """A ledger kept as bucket-partitioned tables in the shared folder."""
+    """A ledger kept as bucket-partitioned tables in the shared folder.
 
-    def __init__(self, spark, buckets: int = 64) -> None:
-        self.spark, self.buckets, self.table = spark, buckets, None
+    A batch reads and rewrites only the buckets that its keys fall into.
+    """
+
+    def __init__(self, spark, buckets: int = 32) -> None:
+        self.spark, self.buckets = spark, buckets
+        self.parts: list[tuple[DataFrame, set[int]]] = []  # tables and the buckets still valid in them
 
     def add(self, rows: DataFrame, row_id: str, text: str, min_words: int = 5) -> None:
         self.add_keyed(keyed_rows(rows, row_id, text, min_words, self.buckets))
 
     def add_keyed(self, keyed: DataFrame) -> None:
-        old = self.table
-        self.table = cut(merge_batch(old, keyed), "ledger")
+        batch = cut(aggregate_batch(keyed).repartition("bucket"), "batch", ["bucket"])
+        touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}  # at most `buckets` numbers
+        old = self._read(touched)
+        merged = merge_batch(old, batch) if old is not None else batch
+        new = cut(merged.select(*LEDGER.fieldNames()).repartition("bucket"), "ledger", ["bucket"]) if old is not None else batch
+        kept = []
+        for table, valid in self.parts:
+            if valid - touched:
+                kept.append((table, valid - touched))
+            else:
+                discard(table)
         if old is not None:
-            discard(old)
+            discard(batch)
+        self.parts = [*kept, (new, touched)]
+
+    def _read(self, buckets: set[int]) -> DataFrame | None:
+        out = None
+        for table, valid in self.parts:
+            if wanted := sorted(valid & buckets):
+                part = table.where(F.col("bucket").isin(wanted)).select(*LEDGER.fieldNames())
+                out = part if out is None else out.unionByName(part)
+        return out
+
+    @property
+    def table(self) -> DataFrame:
+        out = self._read(set(range(self.buckets)))
+        return out if out is not None else self.spark.createDataFrame([], LEDGER)
 
     def records(self) -> DataFrame:
         """Ledger rows with record_key: the key that all texts of one record share."""
