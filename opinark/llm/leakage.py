@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from opinark.llm.text import TAG, words
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 
 
 class SuffixAutomaton:
