@@ -8,6 +8,8 @@ from pyspark.ml.feature import IDF, CountVectorizer, FeatureHasher, HashingTF, N
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinark.operators.spans import let
+
 # Words of clear polarity for the rule baseline.
 POSITIVE = ("good", "great", "excellent", "love", "perfect", "nice", "happy", "easy", "best", "fast", "comfortable", "reliable", "sturdy", "useful", "beautiful")
 NEGATIVE = ("bad", "poor", "terrible", "hate", "broken", "awful", "slow", "cheap", "worst", "hard", "disappointed", "useless", "flimsy", "noisy", "boring")
@@ -18,14 +20,19 @@ def lexicon_sentiment(words: Column | str, cut: float = 0.05) -> Column:
     """0, 1 or 2 by the balance of polar words, turned round after a negation."""
     ws = F.col(words) if isinstance(words, str) else words
 
-    def value(w: Column, i: Column) -> Column:
-        polarity = F.when(w.isin(*POSITIVE), 1.0).when(w.isin(*NEGATIVE), -1.0).otherwise(0.0)
-        negated = (i > 0) & F.coalesce(F.get(ws, i - 1).isin(*NEGATIONS), F.lit(False))
-        return F.when(negated, -polarity).otherwise(polarity)
+    def total(ws: Column) -> Column:
+        def value(w: Column, i: Column) -> Column:
+            polarity = F.when(w.isin(*POSITIVE), 1.0).when(w.isin(*NEGATIVE), -1.0).otherwise(0.0)
+            negated = (i > 0) & F.coalesce(F.get(ws, i - 1).isin(*NEGATIONS), F.lit(False))
+            return F.when(negated, -polarity).otherwise(polarity)
+
+        return F.aggregate(F.transform(ws, value), F.lit(0.0), lambda a, x: a + x)
+
+    def label(t: Column) -> Column:
+        score = t / F.sqrt(t * t + 15)
+        return F.when(score >= cut, 2).when(score <= -cut, 0).otherwise(1)
 
-    total = F.aggregate(F.transform(ws, value), F.lit(0.0), lambda a, x: a + x)
-    score = total / F.sqrt(total * total + 15)
-    return F.when(score >= cut, 2).when(score <= -cut, 0).otherwise(1)
+    return let(let(ws, total), label)
 
 
 def balanced(df: DataFrame, label: str, into: str = "class_weight") -> DataFrame:

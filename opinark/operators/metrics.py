@@ -98,3 +98,18 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 def best_row(df: DataFrame, metric: str, order: str) -> DataFrame:
     """The row with the greatest metric, the first by order on ties."""
     return df.orderBy(F.desc(metric), order).limit(1)
+
+
+def span_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """Micro scores over index spans, arrays of (start, end) per row."""
+    as_text = lambda c: F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return set_scores(df.select(as_text(gold).alias("g"), as_text(predicted).alias("p")), "g", "p")
+
+
+def token_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """Micro precision, recall and F1 over the tokens that are not O, labels compared place by place."""
+    each = df.select(F.explode(F.zip_with(gold, predicted, lambda g, p: F.struct(g.alias("g"), p.alias("p")))).alias("x"))
+    g, p = F.col("x.g"), F.col("x.p")
+    sums = each.agg(F.count_if((g != "O") & (g == p)).alias("tp"), F.count_if((p != "O") & (g != p)).alias("fp"), F.count_if((g != "O") & (g != p)).alias("fn"))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return sums.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})

@@ -14,9 +14,17 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: an expression inside a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def index_spans(labels: Column | str) -> Column:
     """array<struct<start,end>> of label runs: B begins, I goes on, an I without B is no span."""
-    ls = _c(labels)
+    return let(_c(labels), _index_spans)
+
+
+def _index_spans(ls: Column) -> Column:
     n = F.size(ls)
     places = F.filter(F.transform(ls, lambda x, i: F.when(x == B, i)), lambda i: i.isNotNull())
 
@@ -55,8 +63,10 @@ def best_spans(spans: Column | str) -> Column:
             .otherwise(F.when(a["start"] > b["start"], 1).otherwise(0))
         )
 
-    ordered = F.array_sort(_c(spans), order)
-    return F.filter(ordered, lambda s, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda x: x["aspect"] == s["aspect"]))
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda s, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda x: x["aspect"] == s["aspect"]))
+
+    return let(F.array_sort(_c(spans), order), firsts)
 
 
 def is_gold(confidences: Column | str) -> Column:
@@ -71,11 +81,6 @@ def confidence_weight(confidence: Column, gold: Column, floor: float = 0.85, low
     return F.when(gold, 1.0).otherwise(low + (c - floor) / (1.0 - floor) * (high - low))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: an expression inside a lambda would be evaluated for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _starts(norm: Column, words: Column) -> Column:
     """Places where the words stand in a row of tokens in normal form; none for no words."""
     n = F.size(words)
@@ -131,9 +136,12 @@ def unmatched_aspects(tokens: Column | str, aspects: Column | str) -> Column:
 
 def first_subtoken(word_ids: Column | str, values: Column | str) -> Column:
     """One value per word: that of its first sub-token; sub-tokens without word are left out."""
-    pairs = F.arrays_zip(_c(word_ids).alias("w"), _c(values).alias("v"))
-    kept = F.filter(pairs, lambda p, i: p["w"].isNotNull() & ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["w"].eqNullSafe(p["w"])))
-    return F.transform(kept, lambda p: p["v"])
+
+    def firsts(pairs: Column) -> Column:
+        kept = F.filter(pairs, lambda p, i: p["w"].isNotNull() & ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["w"].eqNullSafe(p["w"])))
+        return F.transform(kept, lambda p: p["v"])
+
+    return let(F.arrays_zip(_c(word_ids).alias("w"), _c(values).alias("v")), firsts)
 
 
 def zip_pairs(aspects: Column | str, opinions: Column | str) -> Column:

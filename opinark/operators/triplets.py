@@ -129,3 +129,18 @@ def majority(sentiments: Column | str, default: int = 2) -> Column:
     s = F.coalesce(_c(sentiments), F.array().cast("array<int>"))
     counts = F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda k: F.struct(F.size(F.filter(s, lambda x: x == k)).alias("n"), (-k).alias("k")))
     return F.when(F.size(s) == 0, default).otherwise(-F.array_max(counts)["k"])
+
+
+def parse_response(c: Column | str) -> Column:
+    """Triplets of a model's answer: code fences and talk around the list are dropped; no list gives an empty array."""
+    body = F.regexp_extract(F.coalesce(_c(c), F.lit("")), r"(?s)(\[.*\])", 1)
+    return parse(body)
+
+
+def with_aspect(triplets: Column | str, aspect: str) -> Column:
+    """Whether a row has a triplet of the aspect, case apart."""
+    return F.exists(_c(triplets), lambda t: F.lower(F.trim(t["aspect"])) == aspect.lower())
+
+
+def with_sentiment(triplets: Column | str, code: int) -> Column:
+    return F.exists(_c(triplets), lambda t: t["sentiment"] == code)

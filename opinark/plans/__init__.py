@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("packed", "cleaning", "profiling", "labelling")
+MODULES = ("packed", "cleaning", "profiling", "labelling", "more")
 
 
 def load():
