@@ -55,32 +55,49 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     return clusters.groupBy("node").agg(F.min("member").alias("root"))
 
 
-def assign_splits(sizes: DataFrame, targets: list[tuple[str, float]], seed: int = 42, large_share: float = 0.001) -> DataFrame:
+def _rendezvous(weights: dict[str, float], seed: int) -> F.Column:
+    """The split of greatest weighted rendezvous score for a root; a change of weights moves few roots."""
+    scores = []
+    for name, weight in weights.items():
+        if weight > 0:
+            h = F.xxhash64("root", F.lit(f"{seed}:{name}"))
+            u = (F.shiftrightunsigned(h, 11).cast("double") + 1) / F.lit(float(2**53 + 1))
+            scores.append(F.struct((-F.lit(float(weight)) / F.log(u)).alias("score"), F.lit(name).alias("split")))
+    return scores[0]["split"] if len(scores) == 1 else F.greatest(*scores)["split"]
+
+
+def assign_splits(sizes: DataFrame, targets: list[tuple[str, float]], seed: int = 42, large_share: float = 0.0005, passes: int = 6) -> DataFrame:
     """sizes (root, n) with the split of each component.
 
     targets: (split name, proportion), proportions above zero; they are taken relative to their sum.
+    The weights of the hashing are tuned in a few passes over the sizes, until the splits' row
+    counts meet what the large components leave to fill.
     """
     total_w = sum(p for _, p in targets)
     total = sizes.agg(F.sum("n")).first()[0] or 0
     lack = {name: p / total_w * total for name, p in targets}
     bound = max(1, math.ceil(total * large_share))
     large = sizes.where(F.col("n") >= bound).orderBy(F.desc("n"), "root").limit(math.ceil(1 / large_share) + 1).collect() if total >= 1 / large_share else []
-    placed = {}
+    placed = []
     for r in large:
         best = max(lack, key=lambda s: (lack[s], s))
-        placed[r["root"]] = best
+        placed.append((r["root"], best))
         lack[best] -= r["n"]
     left = {s: max(v, 0.0) for s, v in lack.items()}
     if not sum(left.values()):
         left = dict(targets)
-    scores = []
-    for name, weight in left.items():
-        if weight > 0:
-            h = F.xxhash64("root", F.lit(f"{seed}:{name}"))
-            u = (F.shiftrightunsigned(h, 11).cast("double") + 1) / F.lit(float(2**53 + 1))
-            scores.append(F.struct((-F.lit(float(weight)) / F.log(u)).alias("score"), F.lit(name).alias("split")))
-    pick = scores[0]["split"] if len(scores) == 1 else F.greatest(*scores)["split"]
+    small = sizes.where(F.col("n") < bound) if placed else sizes
+    weights, chosen, least = dict(left), dict(left), math.inf
+    for _ in range(passes if total else 0):
+        got = {r["split"]: r["n"] for r in small.groupBy(_rendezvous(weights, seed).alias("split")).agg(F.sum("n").alias("n")).collect()}
+        off = max(abs(got.get(s, 0) - v) for s, v in left.items())
+        if off < least:
+            chosen, least = dict(weights), off
+        if off <= 0.0002 * total:
+            break
+        weights = {s: w * min(2.0, max(0.5, left[s] / got[s])) if got.get(s) and left[s] else w for s, w in weights.items()}
+    pick = _rendezvous(chosen, seed)
     if not placed:
         return sizes.withColumn("split", pick)
-    fixed = F.create_map(*(x for root, s in placed.items() for x in (F.lit(root), F.lit(s))))
-    return sizes.withColumn("split", F.coalesce(F.element_at(fixed, F.col("root")), pick))
+    fixed = sizes.sparkSession.createDataFrame(placed, "root string, fixed string")  # 1 / large_share rows at most
+    return sizes.join(F.broadcast(fixed), "root", "left").select(*sizes.columns, F.coalesce("fixed", pick).alias("split"))
