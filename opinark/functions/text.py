@@ -95,14 +95,19 @@ def expand_words(c: Column | str) -> Column:
     """Contractions expanded as whole words, by one lookup per token."""
     x = F.lower(_c(c))
     table = F.create_map(*(F.lit(v) for kv in lexicons.WORD_CONTRACTIONS.items() for v in kv))
-    # tokens and the stretches between them, in order: odd and even members of the split
-    tokens = F.regexp_extract_all(x, F.lit(r"[a-z0-9_']*[a-z0-9_]|[^a-z0-9_]"), F.lit(0))
 
     def expand(w: Column) -> Column:
         bare = F.ltrim(w, F.lit("'"))
-        return F.coalesce(F.concat(F.substring(w, F.lit(1), F.length(w) - F.length(bare)), F.element_at(table, bare)), w)
+        full = F.coalesce(F.concat(F.substring(w, F.lit(1), F.length(w) - F.length(bare)), F.element_at(table, bare)), w)
+        return F.when(F.contains(w, F.lit("'")), full).otherwise(w)
 
-    expanded = F.array_join(F.transform(tokens, expand), "")
+    def expand_part(p: Column) -> Column:
+        # words and the marks between them, in order
+        pieces = F.regexp_extract_all(p, F.lit(r"[a-z0-9_']*[a-z0-9_]|[^a-z0-9_]"), F.lit(0))
+        return F.when(F.contains(p, F.lit("'")), F.array_join(F.transform(pieces, expand), "")).otherwise(p)
+
+    # only the few parts with an apostrophe are taken to pieces
+    expanded = F.array_join(F.transform(F.split(x, " "), expand_part), " ")
     return F.when(F.contains(x, F.lit("'")), expanded).otherwise(x)
 
 
@@ -115,11 +120,10 @@ def normalize_sentence(c: Column | str) -> Column:
 
 def tag_lexicon(c: Column | str) -> Column:
     """Words of the two lexicons replaced by their tags; apostrophes around a word do not count."""
-    generic, noise = (F.array(*map(F.lit, words)) for words in (lexicons.GENERIC_NOUNS, lexicons.DOMAIN_NOISE))
 
     def tag(w: Column) -> Column:
-        bare = F.btrim(w, F.lit("'"))
-        return F.when(F.array_contains(generic, bare), lexicons.GENERIC_TAG).when(F.array_contains(noise, bare), lexicons.NOISE_TAG).otherwise(w)
+        bare = F.btrim(w, F.lit("'"))  # membership in a literal list is a hash lookup
+        return F.when(bare.isin(*lexicons.GENERIC_NOUNS), lexicons.GENERIC_TAG).when(bare.isin(*lexicons.DOMAIN_NOISE), lexicons.NOISE_TAG).otherwise(w)
 
     return F.array_join(F.transform(F.split(collapse(c), " "), tag), " ")
 
