@@ -152,6 +152,7 @@ def seed_pairs(prints: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     """
     left = prints.where("side = 0").select("hash", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     right = prints.where("side = 1").select("hash", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    # the largest symmetric difference that two sets of these sizes may have; equal bits never count against a pair
     most = F.expr(f"(na + nb) - 2 * ((({num} * (na + nb)) + {num + den - 1}) div {num + den})")
     both = left.join(right, "hash").where(F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= most)
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("pa", "pb"))).alias("seeds"))
