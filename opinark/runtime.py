@@ -79,16 +79,25 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return big.join(F.broadcast(small) if is_small(small) else small, list(on), how)
 
 
+#: White space that may stand around names and keys.
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
+
+
+def strip(c: Column | str) -> Column:
+    """c without white space of any kind at its ends."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
+
+
 def name_key(c: Column | str) -> Column:
     """Category names compared trimmed, in lower case, with space, hyphen and underscore alike."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.translate(F.lower(F.trim(c)), " -", "__")
+    return F.translate(F.lower(strip(c)), " -", "__")
 
 
 def item_key(c: Column | str) -> Column:
     """Item keys compared trimmed and in upper case; blank keys are null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.upper(F.trim(c)), F.lit(""))
+    return F.nullif(F.upper(strip(c)), F.lit(""))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
