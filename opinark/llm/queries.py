@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opinark.llm import components, copies, cutoffs, leakage, overlap, packing, sentences, setjoin, spectral, variety
 from opinark.plans.registry import Registry
-from opinark.runtime import cut, item_key, name_key, table
+from opinark.runtime import cut, item_key, name_key, strip, table
 
 llm = Registry()
 
@@ -83,7 +83,7 @@ def p4_cutoffs(spark, sf_dir):
 
 def _review_key(c):
     """A review id as a whole number above zero without leading zeros and final .0; null for any other."""
-    return F.nullif(F.regexp_extract(F.trim(F.col(c)), r"^0*([1-9][0-9]*)(\.0)?$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(strip(c), r"^0*([1-9][0-9]*)(\.0)?$", 1), F.lit(""))
 
 
 @llm.query("p6_found")
@@ -189,7 +189,7 @@ def p10_found(spark, sf_dir):
 @llm.query("p10_languages")
 def p10_languages(spark, sf_dir):
     """Sentences and their mean length per language as labelled."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.trim("lang")).alias("lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(strip("lang")).alias("lang"))
     found = sentences.split_sentences(docs, "doc_id", "text")
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_sentences"), F.round(F.avg(F.col("char_end") - F.col("char_start")), 6).alias("mean_chars")
@@ -201,7 +201,7 @@ def p10_languages(spark, sf_dir):
 
 def _overlaps(spark, sf_dir):
     """Row-level (train_row_id, eval_row_id, eval_split, likeness, coverage)."""
-    rows = table(spark, sf_dir, "seed_42").withColumn("split_key", F.lower(F.trim("split")))
+    rows = table(spark, sf_dir, "seed_42").withColumn("split_key", F.lower(strip("split")))
     side = F.when(F.col("split_key") == "train", 0).when(F.col("split_key").isin("validation", "test"), 1)
     seqs, members = overlap.word_sequences(rows, "row_id", "sentence_text", side)
     pairs = overlap.overlaps(seqs)
@@ -219,7 +219,7 @@ def p5_found(spark, sf_dir):
 @llm.query("p5_report")
 def p5_report(spark, sf_dir):
     """Per held-out split and category: its records, those that overlap train, pairs, and mean coverage."""
-    rows = table(spark, sf_dir, "seed_42").select(F.col("row_id").alias("eval_row_id"), F.lower(F.trim("split")).alias("split"), name_key("category_name").alias("category"))
+    rows = table(spark, sf_dir, "seed_42").select(F.col("row_id").alias("eval_row_id"), F.lower(strip("split")).alias("split"), name_key("category_name").alias("category"))
     held = rows.where(F.col("split").isin("validation", "test"))
     per_row = _overlaps(spark, sf_dir).groupBy("eval_row_id").agg(F.count("*").alias("pairs"), F.max("coverage").alias("coverage"))
     return held.join(per_row, "eval_row_id", "left").groupBy("split", "category").agg(
