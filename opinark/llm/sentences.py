@@ -266,6 +266,8 @@ def _stop_ends(text: str, k: int, start: int, b: int, one_case: bool) -> bool:
     kind = _abbreviation(text, k, start)
     word = _NEXT_WORD.match(text, after)
     follows = word[0].lower() if word else ""
+    if word and len(word[0]) > 1 and len(token) > 1 and token.isupper() and word[0].isupper():
+        one_case = True  # capitals here say nothing
     if kind == "title":
         return False
     if kind == "number" and c.isdigit():

@@ -32,6 +32,7 @@ CASES = [
     ("هل هذا جيد؟ قال د. علي نعم.", ["هل هذا جيد؟", "قال د. علي نعم."]),
     ("ดีมากครับ ราคา 18.5 บาท ถือว่าคุ้มค่ะ", ["ดีมากครับ", "ราคา 18.5 บาท ถือว่าคุ้มค่ะ"]),
     ("it scored 4.5 with us! who needs it. we waited until 6 p.m. there it was.", ["it scored 4.5 with us!", "who needs it.", "we waited until 6 p.m.", "there it was."]),
+    ("It works. INC. AND LTD. LABELS ASIDE, IT IS FINE. Good.", ["It works.", "INC. AND LTD. LABELS ASIDE, IT IS FINE.", "Good."]),
     ("", []),
     (" \n\t<br/> ", []),
 ]
