@@ -13,7 +13,8 @@ one comparison and one link per row and task rather than one per pair, and no li
 separate groups is ever lost. Exact copies collapse map-side to one row per map task first.
 
 Rows travel once per prefix partition as compressed column blocks. Rows that would meet by a word
-of more than MAX_TASK_ROWS rows meet by pairs of words instead, by triples, and so on.
+of more than MAX_TASK_ROWS rows meet by pairs of words instead, by triples, and so on. Short sets whose
+partners may share no further word stay in the group by fewer words as well.
 """
 
 from __future__ import annotations
@@ -58,6 +59,10 @@ class Likeness:
         """The largest symmetric difference of two sets with so many words together."""
         return total - 2 * -(-self.num * total // (self.num + self.den))
 
+    def least_shared(self, n: np.ndarray) -> np.ndarray:
+        """The fewest words that a set of n words shares with any set like it."""
+        return -(-self.num * n // self.den)
+
     def probe(self, n: np.ndarray) -> np.ndarray:
         """Prefix length of a set against sets of its size or smaller."""
         return n + (-self.num * n // self.den) + 1
@@ -172,9 +177,14 @@ def _expand(rec: np.ndarray, key: np.ndarray, pos: np.ndarray, end: np.ndarray,
     return parent, _mix(key[parent], codes[starts[rec[parent]] + new]), new
 
 
-def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness) -> tuple[np.ndarray, ...]:
-    """(record, key, position, depth): the groups in which each record must meet its partners."""
-    probe = like.probe(lens)
+def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """(record, key, position, depth): the groups in which each record must meet its partners.
+
+    Groups estimated above most (MAX_TASK_ROWS if none is given) rows are replaced by groups of one more word, but
+    a record that may share no more words with a partner than the group has stays in the group too.
+    """
+    most = MAX_TASK_ROWS if most is None else most
+    probe, least = like.probe(lens), like.least_shared(lens)
     rec = np.repeat(np.arange(len(lens)), probe)
     first = np.cumsum(probe) - probe
     pos = np.arange(len(rec)) - first[rec]
@@ -183,14 +193,15 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
         shared = code >= np.searchsorted(coder.counts, 2)
         rec, pos, code = rec[shared], pos[shared], code[shared]
     key = _mix(np.zeros(len(rec), np.uint64), code)
-    big = code >= np.searchsorted(coder.counts, MAX_TASK_ROWS, "right")
+    big = code >= np.searchsorted(coder.counts, most, "right")
     if not big.any():
         return rec, key, pos, np.ones(len(rec), np.int64)
     est = coder.share(code)
     out = []
     for depth in range(1, MAX_DEPTH + 1):
-        big = (est * coder.rows > MAX_TASK_ROWS) if depth < MAX_DEPTH else np.zeros(len(rec), bool)
-        out.append((rec[~big], key[~big], pos[~big], np.full(int((~big).sum()), depth)))
+        big = (est * coder.rows > most) if depth < MAX_DEPTH else np.zeros(len(rec), bool)
+        here = ~big | (least[rec] <= depth)
+        out.append((rec[here], key[here], pos[here], np.full(int(here.sum()), depth)))
         if not big.any():
             break
         r, e = rec[big], est[big]
@@ -248,7 +259,7 @@ class _Local:
         h = (codes.view(np.uint64) * _MIX[0]) >> np.uint64(52)  # twelve bits: one of 64 places in each of two sketches
         self.bits = [np.bitwise_or.reduceat(one << x, self.starts) for x in (h >> np.uint64(6), h & np.uint64(63))] if len(ids) else []
         self.short = np.where(codes >= 0, codes.view(np.uint64), _RARE_KEY | (codes.view(np.uint64) & (_RARE_KEY - one)))
-        self.probe, self.index = like.probe(lens), like.index(lens)
+        self.probe, self.index, self.least = like.probe(lens), like.index(lens), like.least_shared(lens)
         self.label, self.remap = np.arange(len(ids)), np.arange(len(ids))
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -338,6 +349,7 @@ class _Local:
         rec, key, pos, group = rec[large], key[large], pos[large], group[large]
         if not len(rec):
             return
+        self.without_more(rec, group, depth)
         end = np.minimum(self.probe + depth, self.lens)
         step = 1 << 16
         cuts = [0]
@@ -372,11 +384,22 @@ class _Local:
         if found_i:
             self.link(np.concatenate(found_i), np.concatenate(found_j))
 
-    def blocks(self, rec: np.ndarray, group: np.ndarray) -> None:
-        """Groups that more words don't split: each record in turn against the later ones of other labels."""
+    def without_more(self, rec: np.ndarray, group: np.ndarray, depth: int) -> None:
+        """Pairs of large groups that share just the group's words, so that no further word brings them together."""
+        short = self.least[rec] <= depth
+        rec, group = rec[short], group[short]
+        if len(rec) < 2:
+            return
+        order = np.lexsort((self.lens[rec], group))
+        # where two sets with a word more each are not alike any more, one of a pair has the group's words only
+        longer = self.like.holds(np.array(depth), np.array(2 * depth + 2))
+        self.blocks(rec[order], group[order], None if longer else depth)
+
+    def blocks(self, rec: np.ndarray, group: np.ndarray, longest: int | None = None) -> None:
+        """Groups that more words don't split: each record (of up to longest words) in turn against the later ones of other labels."""
         for g in np.unique(group):
             own = rec[group == g]
-            while len(own) > 1 and (self.label[own] != self.label[own[0]]).any():
+            while len(own) > 1 and (longest is None or self.lens[own[0]] <= longest) and (self.label[own] != self.label[own[0]]).any():
                 n = max(1, min(len(own) - 1, (1 << 18) // len(own)))  # so many leaders at once
                 i, j = np.triu_indices(n, 1, len(own))
                 ok = self.maybe(own[i], own[j])

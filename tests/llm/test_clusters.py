@@ -109,6 +109,38 @@ def test_hot_words_are_split_by_more_words(monkeypatch):
         assert {(top(i), i) for i in up if top(i) != i} == want
 
 
+def test_short_sets_without_a_further_word_meet_in_the_group_they_are_in(monkeypatch):
+    """Sets whose words are used up before the group is small enough, and pairs that share no word beyond the group's."""
+    rng = random.Random(9)
+    hot = "good very nice works well really".split()
+    texts = [" ".join(hot[:n] + hot[:1] * (5 - n)) for n in range(1, 7) for _ in range(4)]
+    texts += [" ".join([*rng.sample(hot, n), *(f"x{rng.randrange(40)}" for _ in range(k)), *["good"] * 3]) for n in (2, 3, 4, 5, 6) for k in (0, 1, 2) for _ in range(12)]
+    rows = list(enumerate(texts))
+    sets = [sorted({setjoin._WordHashes()[w] for w in words(t)}) for _, t in rows]
+    lens, flat = np.array([len(s) for s in sets]), np.array([h for s in sets for h in s], np.int64)
+    hashes, counts = np.unique(flat, return_counts=True)
+    coder = setjoin.Coder(hashes, counts, len(rows))
+    codes = coder.encode(flat)
+    codes = codes[setjoin._row_order(codes, lens)]
+    ids, want = np.arange(len(rows)), brute(rows)
+    for bound, small in ((3, 2), (1, 1), (1_000_000, 1), (3, 40)):
+        monkeypatch.setattr(setjoin, "MAX_TASK_ROWS", bound)
+        monkeypatch.setattr(setjoin, "SMALL_GROUP", small)
+        up = list(range(len(rows)))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for part in range(3):
+            a, b, _ = setjoin.local_links(ids, lens, codes, coder, setjoin.Likeness(), part, 3)
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = top(x), top(y)
+                up[max(p, q)] = min(p, q)
+        assert {(top(i), i) for i in range(len(up)) if top(i) != i} == want
+
+
 def test_typical_members_stand_in_the_middle(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g i"), (3, "a b c d e f g h j"), (4, "q r s t u")]
     _, sets, members = run(spark, rows)
