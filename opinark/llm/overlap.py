@@ -6,13 +6,17 @@ select a common hash there. Hashes are ordered by how many records hold them, ra
 stock phrases are selected only where a window holds nothing rarer; the counts of the most
 frequent hashes are exact and broadcast in a table of fixed size, all others count as rare.
 
+Runs alone don't find all pairs of a given likeness: a few changes, or clauses in another order, can
+leave no common run. So sequences also meet by the rarest few words of their word sets (the prefix
+words of the set join), or by two, three ... of them where many sequences hold a word. Any two word
+sets of the likeness share such a word.
+
 Selected hashes are joined across splits on distinct word sequences, to which copies rejoin at the
 end. With each hash goes a 64-bit sketch of the record's word set and its size: pairs whose sketches
 differ in more bits than the likeness allows words are dropped inside the join, so that almost only
 true pairs leave it. The likeness of the word sets then decides exactly; for pairs that have it the seeds are
 chained collinearly, extended by alignment (longest common subsequence of words between them), and
-reported as coverage. What is found for certain: all pairs that share a run of RUN_WORDS + WINDOW - 1
-= 6 words, and of sequences under SHORT_WORDS words all that share two words in a row.
+reported as coverage; pairs that met by words only are aligned as a whole. All pairs of the likeness are found.
 
 Defined results: null texts, texts under min_words words, and rows of other or null splits are in
 no pair; repeated rows each give their pairs; an empty side gives no rows.
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinark.llm.setjoin import Coder, Likeness, _row_order, frequent_words, group_rows, word_sets
 from opinark.llm.text import words
 from opinark.runtime import cut
 
 RUN_WORDS = 4
 WINDOW = 3
-#: Sequences of fewer words also meet by all runs of SHORT_RUN words: few changes can break all longer runs.
-SHORT_WORDS = 15
-SHORT_RUN = 2
+#: Sequences that would meet by a word of more sequences meet by several words.
+GROUP_ROWS = 500
 TOP_HASHES = 60_000
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -158,6 +163,45 @@ def seed_pairs(prints: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("pa", "pb"))).alias("seeds"))
 
 
+def prefix_keys(seqs: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
+    """(side, seq_id, hash, depth, place, n, sketch): the groups in which each sequence meets all others of likeness num/den.
+
+    place: where the last of the group's depth words stands among the n words of the set, rarest first.
+    """
+    sets = cut(word_sets(seqs.withColumn("side", F.col("side").cast("string")), "seq_id", "seq", min_words=1, keep="side"), "sequence-words")
+    shared = seqs.sparkSession.sparkContext.broadcast(frequent_words(sets))
+    like = Likeness(num, den)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            lens = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            starts = np.cumsum(lens) - lens
+            flat = lists.flatten().to_numpy()
+            sketch = np.bitwise_or.reduceat(np.uint64(1) << (flat.view(np.uint64) & np.uint64(63)), starts).view(np.int64)
+            codes = coder.encode(flat)
+            rec, key, pos, depth = group_rows(starts, lens, codes[_row_order(codes, lens)], coder, like, GROUP_ROWS)
+            side, ids = (batch.column(i).take(pa.array(rec)) for i in (0, 1))
+            ints = [pa.array(x.astype(np.int32)) for x in (depth, pos, lens[rec])]
+            yield pa.RecordBatch.from_arrays([side, ids, pa.array(key.view(np.int64)), *ints, pa.array(sketch[rec])], names=["side", "seq_id", "hash", "depth", "place", "n", "sketch"])
+
+    found = sets.mapInArrow(keys, "side string, seq_id long, hash long, depth int, place int, n int, sketch long")
+    return found.withColumn("side", F.col("side").cast("int"))
+
+
+def prefix_pairs(keys: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
+    """(a, b): pairs of sequences of sides 0 and 1 in a common group whose sizes, places and sketches allow a likeness of num/den."""
+    left = keys.where("side = 0").select("hash", "depth", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = keys.where("side = 1").select("hash", "depth", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    needed = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    # in the group of the rarest words two sets share, what they share besides stands after these words
+    allowed = F.expr(f"depth + least(na - pa, nb - pb) - 1 >= {needed} and bit_count(ka ^ kb) <= na + nb - 2 * {needed}")
+    return left.join(right, ["hash", "depth"]).where(allowed).select("a", "b").distinct()
+
+
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest collinear chain of seeds: places that increase in both records."""
     seeds = sorted(seeds)
@@ -211,10 +255,10 @@ def overlaps(seqs: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
 
     coverage is the share of b's words aligned with a.
     """
-    short = seqs.where(F.size(F.split("seq", " ")) < SHORT_WORDS)
-    long_seeds = seed_pairs(cut(fingerprints(seqs), "fingerprints"), num, den)
-    short_seeds = seed_pairs(cut(fingerprints(short, SHORT_RUN, 1), "fingerprints"), num, den)
-    pairs = long_seeds.select("a", "b", "seeds", F.lit(RUN_WORDS).alias("k")).unionByName(short_seeds.select("a", "b", "seeds", F.lit(SHORT_RUN).alias("k")))
+    by_runs = seed_pairs(cut(fingerprints(seqs), "fingerprints"), num, den)
+    by_words = prefix_pairs(cut(prefix_keys(seqs, num, den), "prefix-keys"), num, den)
+    no_seeds = F.expr("cast(array() as array<struct<pa: int, pb: int>>)")
+    pairs = by_runs.select("a", "b", "seeds", F.lit(RUN_WORDS).alias("k")).unionByName(by_words.select("a", "b", no_seeds.alias("seeds"), F.lit(0).alias("k")))
     pairs = pairs.groupBy("a", "b").agg(F.max_by(F.struct("seeds", "k"), "k").alias("s")).select("a", "b", "s.seeds", "s.k")
     texts = seqs.select("side", "seq_id", "seq")
     left = texts.where("side = 0").select(F.col("seq_id").alias("a"), F.col("seq").alias("sa"))

@@ -55,3 +55,33 @@ def test_winnowing_keeps_a_hash_of_every_window():
     picked = overlap.winnow(h, [1] * len(h), 3)
     assert all(any(s <= p < s + 3 for p in picked) for s in range(len(h) - 2))
     assert overlap.winnow([], [], 3) == [] and overlap.winnow([4], [1], 3) == [0]
+
+
+def test_evenly_spaced_edits_and_reordered_clauses(spark):
+    """Pairs of the likeness that share no run of words that winnowing would have to select."""
+    rng = random.Random(10)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows, n = [], 0
+    for size in (5, 8, 12, 15, 16, 20, 30, 45, 60):
+        for _ in range(6):
+            base = rng.sample(vocab, size)
+            edited = [f"e{n}x{i}" if i % 6 == 5 else w for i, w in enumerate(base)]
+            clauses = [base[i : i + 3] for i in range(0, size, 3)]
+            shuffled = [w for c in rng.sample(clauses, len(clauses)) for w in c]
+            for split, ws in (("train", base), ("test", edited), ("test", shuffled), ("test", base[::-1]), ("other", base), ("train", base[: size * 3 // 4])):
+                rows.append((n, split, " ".join(ws)))
+                n += 1
+    # the runs the long pairs share are in many other rows, those that differ in one
+    rows += [(n + i, split, text) for i, (split, text) in enumerate((s, t) for _, s, t in rows[:120] for s in ("train", "test"))]
+    got = run(spark, rows)
+    assert set(got) == brute(rows)
+
+
+def test_words_of_many_rows_lose_no_pair(spark, monkeypatch):
+    """Hot words, which bring sequences together by several words only, also where these are all the words there are."""
+    monkeypatch.setattr(overlap, "GROUP_ROWS", 3)
+    rng = random.Random(11)
+    hot = [f"h{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(hot[: rng.randrange(1, 13)], k=rng.randrange(5, 16))) for _ in range(300)]
+    rows = [(i, rng.choice(["train", "test"]), t) for i, t in enumerate(texts)]
+    assert set(run(spark, rows)) == brute(rows)
