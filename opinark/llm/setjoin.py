@@ -107,8 +107,8 @@ def word_sets(rows: DataFrame, row_id: str, text: str, min_words: int = 5, keep:
     return source.mapInArrow(read, (f"{keep} string, " if keep else "") + "row_id long, words array<long>")
 
 
-def frequent_words(sets: DataFrame, limit: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """The hashes (sorted) and document frequencies of the most frequent words, and the number of rows."""
+def word_counts(sets: DataFrame) -> DataFrame:
+    """(word, n): document frequencies of all words by hash, and the number of rows as that of null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = {}, 0
@@ -125,8 +125,12 @@ def frequent_words(sets: DataFrame, limit: int = TOP_WORDS) -> tuple[np.ndarray,
     def _counts(seen: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([None, *seen.keys()], pa.int64()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
-    counted = sets.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(limit + 1).toArrow()
+    return sets.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(sets: DataFrame, limit: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes (sorted) and document frequencies of the most frequent words, and the number of rows."""
+    top = word_counts(sets).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(limit + 1).toArrow()
     is_total = top.column("word").is_null()
     rows = sum(top.filter(is_total).column("n").to_pylist())
     top = top.filter(pc.invert(is_total))
