@@ -28,12 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinark.llm.text import TAG
+
 END_MARKS = ".!?…。！？｡।॥؟۔‼⁇⁈⁉"
 _STRONG = set("!?。！？｡।॥؟۔‼⁇⁈⁉")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "［": "］", "“": "”", "„": "“”", "«": "»", "‹": "›", "‚": "‘’", '"': '"'}
 _BRACKETS = set("([{（【［")
 _CLOSERS = "\"'”’»›)]}）」』】》〉］"
-_TAG = re.compile(r"<[^<>]{0,300}>")
 _BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|h[1-6])\b", re.I)
 _LINE_END = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
 _MARKER = re.compile(r"(?:[•\-*–—‣·◦▪●○■□➢✓✔→]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|[①-⑳]|\d{1,2}、)(?=\s)|\d{1,2}、|•")
@@ -90,7 +91,7 @@ def _mask(text: str) -> str:
     """Tags as white space of the same length."""
     if "<" not in text:
         return text
-    return _TAG.sub(lambda m: ("\n" if _BREAK_TAG.match(m[0]) else " ") + " " * (len(m[0]) - 1), text)
+    return TAG.sub(lambda m: ("\n" if _BREAK_TAG.match(m[0]) else " ") + " " * (len(m[0]) - 1), text)
 
 
 def _bare_end(text: str, start: int, end: int) -> bool:

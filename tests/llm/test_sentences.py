@@ -67,3 +67,9 @@ def test_frame(spark):
     got = sorted((r.doc_id, r.sentence_no, r.char_start, r.char_end) for r in sentences.split_sentences(df, "doc_id", "text").collect())
     assert got == sorted([(1, 1, 0, 6), (1, 2, 7, 13)] * 2)
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_tags_of_any_length_are_white_space():
+    tag = '<a href="https://example.org/' + "path. " * 200 + '">'
+    assert cut(f"It broke. {tag}Twice!</a> Why?") == ["It broke.", "Twice!", "Why?"]
+    assert cut(f"It came in {tag}two</a> parts.") == [f"It came in {tag}two</a> parts."]
