@@ -49,7 +49,7 @@ def canonical_fields(text: Column) -> Column:
 def keyed_rows(rows: DataFrame, row_id: str, text: str, min_words: int = 5, buckets: int = 32) -> DataFrame:
     """(row_id, bucket, linear_key, field_key) of the rows with a record."""
     t = F.col(text)
-    has_cuts = F.regexp_like(t, F.lit("[;|].*:|:.*[;|]"))
+    has_cuts = F.contains(t, F.lit(":")) & F.regexp_like(t, F.lit("[;|]"))
     keyed = rows.where(t.isNotNull() & (word_count(t) >= min_words)).select(
         F.col(row_id).cast("long").alias("row_id"),
         F.unhex(F.md5(canonical_text(t))).alias("linear_key"),

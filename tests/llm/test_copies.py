@@ -54,3 +54,9 @@ def test_empty_table(spark):
 def test_very_long_text(spark):
     long = "word " * 200_000
     assert found(spark, [[(1, long), (2, long.upper())]])[0] == {(1, 2)}
+
+
+def test_labelled_fields_on_lines_of_their_own(spark):
+    """No single line holds both a colon and a separator."""
+    rows = [(1, "Color:\nred;\nSize:\nlarge;\nFit:\nslim"), (2, "Fit:\nslim;\nColor:\nred;\nSize:\nlarge"), (3, "size: large | color: red | fit: slim")]
+    assert found(spark, [rows]) == ({(1, 2), (1, 3)}, {1: 3})
