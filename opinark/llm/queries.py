@@ -112,7 +112,7 @@ def _split_rows(spark, sf_dir):
 def p6_splits(spark, sf_dir):
     """The split of every row; rows of one component share it."""
     rows = cut(_split_rows(spark, sf_dir), "components")
-    targets = [(r["split_name"], r["proportion"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").limit(100).collect()]
+    targets = [(r["split_name"], r["proportion"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").collect()]
     sizes = components.assign_splits(cut(rows.groupBy("root").agg(F.count("*").alias("n")), "sizes"), targets)
     return rows.join(sizes.select("root", "split"), "root").select("row_id", F.col("root").alias("component"), "split")
 
@@ -258,7 +258,7 @@ def _tokenizer():
 
 def _packs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sizes = [(r["pack_name"], int(r["capacity_tokens"])) for r in table(spark, sf_dir, "pack_sizes").orderBy("pack_name").limit(100).collect()]
+    sizes = [(r["pack_name"], int(r["capacity_tokens"])) for r in table(spark, sf_dir, "pack_sizes").orderBy("pack_name").collect()]
     return packing.pack(docs, "doc_id", "text", sizes, *_tokenizer())
 
 
