@@ -1,15 +1,25 @@
 """Similarity clusters by power-iteration spectral clustering on sparse affinities (problem 7).
 
-The affinities are the links of the set join. Each level normalises them by row, iterates several
-random start vectors with the lazy walk (half stays, half moves), so that the rows of one group
-draw together in the space of these vectors, and clusters that embedding with k-means: centres
-start at the rows whose affinity sum is greatest among their neighbours, rows go to the nearest
-centre they have affinity to, centres move to the mean, rows are placed again. Then each cluster
-becomes one row of the next level. Levels end when no affinity crosses clusters, so clusters are
-exactly the groups connected by links, and no number of clusters need be given.
+The affinities are the links of the set join, normalised by row. Several random start vectors are
+iterated with them at once: v' = (1 + m) M v - m v_before, where M is the walk along affinities with
+a little staying in place, and m a momentum that speeds up the iteration. The vectors that M leaves
+as they are take one value on each group of rows joined by affinities, so rows of a group draw
+together, each group at a place of its own, and all else dies out.
 
-Vectors, affinities and cluster labels are all distributed tables; hubs cost partial aggregates
-only. Every level is written to the shared folder.
+K-means then clusters the embedding alone: centres are the means of occupied cells of a fine grid,
+centres that lie together become one, rows belong to the centre nearest to them, whatever it is
+that joins them. No number of clusters need be given.
+
+Affinities are used once more to tell which clusters are finished: those that no affinity leaves
+and whose rows lie within a fraction of a cell. The rows of the others, whose groups are long drawn
+out, become the next level: rows join the nearest of the neighbours picked by a hash, each such
+bundle is one row with the summed affinities, and is iterated and clustered in the same way.
+
+With vectors of d dimensions and cells of width w, two of K groups come to lie together with a
+probability of about (2w)^d K^2 / 2; the number of vectors is chosen to keep it below one in a thousand.
+
+Vectors, affinities and labels are distributed tables. A row with many affinities is spread over as many
+tasks as it needs; sums are combined map-side. Vectors are written to the shared folder every few steps.
 
 Defined results: rows without links are in no cluster; repeated links and links of a row to
 itself change nothing; empty links give no clusters.
@@ -17,92 +27,176 @@ itself change nothing; empty links give no clusters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinark.runtime import cut, discard
+from opinark.runtime import cut, discard, lookup_join
 
-MAX_LEVELS = 60
+MAX_LEVELS = 40
+#: Width of the grid's cells; start values lie between 0 and 1.
+CELL = 1e-6
+#: Share of a step that stays in place, and the momentum that is best for it.
+STAY = 0.2
+_RADIUS = (1 - STAY) / (1 + STAY)
+_FALL = (1 - math.sqrt(1 - _RADIUS * _RADIUS)) / _RADIUS
+MOMENTUM = _FALL * _FALL
+#: What isn't common to a group has fallen to CELL / 100 after so many steps, where it falls as the momentum is made for.
+STEPS = math.ceil(math.log(100 / CELL) / -math.log(_FALL)) + 4
+#: Steps between two writes of the vectors.
+CHUNK = 8
+#: Affinities of one row that one task takes.
+HOT_EDGES = 200_000
 
 
-def _start(node: str, k: int) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(node, F.lit(k)), 11).cast("double") / float(2**53)
+def vectors_for(nodes: int) -> int:
+    """Vectors that keep groups apart: (2w)^d K^2 / 2 below one in a thousand for as many groups as there are rows."""
+    return max(3, math.ceil(math.log(500 * max(nodes, 1) ** 2) / -math.log(2 * CELL)))
 
 
-def _order(mass: F.Column, node: str, level: int) -> F.Column:
-    """One number that orders rows by affinity sum, then by hash: a plain maximum of it needs no sort."""
-    scaled = F.least(F.floor(mass * 1000), F.lit(2**20 - 1)).cast("long")
-    return F.shiftleft(scaled, 42) + F.pmod(F.xxhash64(node, F.lit(level)), F.lit(2**42))
+def affinities(links: DataFrame) -> DataFrame:
+    """(src, salt, dst, p, own): both ways of each link (a, b, w), p normalised over dst, and a row for each node itself.
 
-
-def embed(affinities: DataFrame, level: int = 0, vectors: int = 3, steps: int = 3) -> DataFrame:
-    """(node, peak, v0, v1, ...) after power iteration; affinities (src, dst, w, rank) symmetric with self-loops.
-
-    peak: the greatest rank among a row and its neighbours, gathered with the first step.
+    salt spreads the rows of one src that has more than HOT_EDGES of them.
     """
-    names = [f"v{k}" for k in range(vectors)]
-    first = [(F.sum(F.col("w") * _start("src", k)) / F.sum("w")).alias(n) for k, n in enumerate(names)]
-    space = affinities.groupBy(F.col("dst").alias("node")).agg(F.max("rank").alias("peak"), *first)
-    for _ in range(steps - 1):
-        moved = affinities.join(space, affinities.src == space.node)
-        space = moved.groupBy(F.col("dst").alias("node")).agg(F.max("rank").alias("peak"), *((F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in names))
-    return space
-
-
-def _level(links: DataFrame, level: int, vectors: int, steps: int) -> DataFrame:
-    """(node, centre) of one level, for links (a, b, w) with a < b."""
-    names = [f"v{k}" for k in range(vectors)]
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
-    mass = both.groupBy("src").agg(F.sum("w").alias("mass"))
-    mass = mass.withColumn("rank", _order(F.col("mass"), "src", level))
-    loops = mass.select("src", F.col("src").alias("dst"), F.col("mass").alias("w"), "rank")
-    affinities = both.join(mass.select("src", "rank"), "src").unionByName(loops)
-    # sorted once: every step joins it by src again
-    affinities = affinities.repartition("src").sortWithinPartitions("src").persist()
-    space = embed(affinities, level, vectors, steps)
-    own_rank = affinities.where("src = dst").select(F.col("src").alias("node"), "rank")
-    space = cut(space.join(own_rank, "node").withColumn("seed", F.col("rank") == F.col("peak")).drop("rank", "peak"), "space")
-
-    # pairs of a row and a centre it has affinity to
-    centres = space.where("seed").select(F.col("node").alias("src"), *names)
-    near = affinities.select("src", F.col("dst").alias("node")).join(centres, "src")
-    own = space.where("not seed").select("node", *(F.col(n).alias(f"o{n}") for n in names))
-    # kept in its partitions by node, which the placements group by
-    pairs = near.join(own, "node").select("node", F.col("src").alias("centre"), *names, *(f"o{n}" for n in names)).persist()
-    square = sum((F.col(n) - F.col(f"o{n}")) * (F.col(n) - F.col(f"o{n}")) for n in names)
-    placed = pairs.groupBy("node").agg(F.min(F.struct(square.alias("far"), "centre", *(f"o{n}" for n in names))).alias("m"))
-    members = placed.select(F.col("m.centre").alias("centre"), *(F.col(f"m.o{n}").alias(n) for n in names))
-    members = members.unionByName(centres.select(F.col("src").alias("centre"), *names))
-    means = members.groupBy("centre").agg(*(F.avg(n).alias(n) for n in names))
-    again = pairs.drop(*names).join(means, "centre")
-    placed = again.groupBy("node").agg(F.min(F.struct(square.alias("far"), "centre")).alias("m")).select("node", F.col("m.centre").alias("centre"))
-    out = cut(placed, "placed")
-    pairs.unpersist()
-    affinities.unpersist()
-    return out
-
-
-def spectral_clusters(links: DataFrame, vectors: int = 3, steps: int = 3) -> DataFrame:
-    """(node, root): the cluster of every linked node, named by its smallest node."""
+    ways = links.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w")
+    both = ways.select("e.src", "e.dst", "w")
+    mass = cut(both.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("mass"), F.ceil(F.count("*") / HOT_EDGES).alias("salts")), "mass")
+    scaled = both.join(mass.select(F.col("node").alias("dst"), "mass"), "dst").select("src", "dst", (F.col("w") / F.col("mass")).alias("p"), F.lit(False).alias("own"))
+    selves = mass.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("p"), F.lit(True).alias("own"))
+    salted = lookup_join(scaled, mass.where("salts > 1").select(F.col("node").alias("src"), "salts"), ["src"], "left")
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dst"), F.col("salts"))).otherwise(0)
+    return salted.select("src", salt.cast("int").alias("salt"), "dst", "p", "own").unionByName(selves.withColumn("salt", F.lit(0)))
+
+
+def _hot(edges: DataFrame) -> DataFrame | None:
+    """(node, salts) of the rows whose affinities are spread, if any."""
+    hot = edges.where("salt > 0").groupBy(F.col("src").alias("node")).agg((F.max("salt") + 1).alias("salts"))
+    return cut(hot, "hot") if edges.where("salt > 0").limit(1).count() else None
+
+
+def _along(edges: DataFrame, state: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """edges with the columns of their src in state (node, ...)."""
+    if hot is None:
+        return edges.join(state.hint("shuffle_hash"), edges.src == state.node)
+    spread = lookup_join(state, hot, ["node"], "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return edges.join(spread.hint("shuffle_hash"), (edges.src == spread.node) & (edges.salt == spread.at))
+
+
+def _start(node: str, k: int, level: int) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(node, F.lit(k), F.lit(level)), 11).cast("double") / float(2**53)
+
+
+def embed(edges: DataFrame, hot: DataFrame | None, level: int, vectors: int, steps: int = STEPS) -> DataFrame:
+    """(node, v0, v1, ...): the random start vectors after power iteration with momentum."""
+    names = range(vectors)
+    state = edges.where("own").select(F.col("src").alias("node"), *(_start("src", k, level).alias(f"v{k}") for k in names), *(F.lit(0.0).alias(f"u{k}") for k in names))
+    for step in range(steps):
+        m = MOMENTUM if step else 0.0
+        share = F.when(F.col("own"), STAY).otherwise(F.col("p")) * ((1 + m) / (1 + STAY))
+        moved = _along(edges, state, hot)
+        new = [F.sum(share * F.col(f"v{k}") - F.when(F.col("own"), m * F.col(f"u{k}")).otherwise(0.0)).alias(f"v{k}") for k in names]
+        old = [F.sum(F.when(F.col("own"), F.col(f"v{k}")).otherwise(0.0)).alias(f"u{k}") for k in names]
+        state = moved.groupBy(F.col("dst").alias("node")).agg(*new, *old)
+        if step % CHUNK == CHUNK - 1 and step < steps - 1:
+            state = cut(state, "vectors")
+    return cut(state.select("node", *(f"v{k}" for k in names)), "space")
+
+
+def _cells(names: list[str], level: int, aside: float = 0.0) -> list[F.Column]:
+    """The grid cell of a place; the grid lies differently on each level."""
+    return [F.floor(F.col(n) / CELL + (0.37 * (k + 1) * (level + 1)) % 1 + aside) for k, n in enumerate(names)]
+
+
+def kmeans(space: DataFrame, level: int = 0) -> DataFrame:
+    """(node, centre, off): the cluster of each row, named by its smallest row, and how far the row lies from the centre, in cells."""
+    names = [c for c in space.columns if c != "node"]
+    keys = [f"c{k}" for k in range(len(names))]
+    in_cells = space.withColumns(dict(zip(keys, _cells(names, level))))
+    centres = cut(in_cells.groupBy(*keys).agg(F.min("node").alias("first"), *(F.avg(n).alias(n) for n in names)), "centres")
+    # centres near a wall of their cell may have others right behind it: those within a quarter of a cell are one
+    near = [F.array_distinct(F.array(a, b)) for a, b in zip(_cells(names, level, -0.25), _cells(names, level, 0.25))]
+    looks = centres.select("first", *names, *(x.alias(k) for x, k in zip(near, keys)))
+    for k in keys:
+        looks = looks.withColumn(k, F.explode(k))
+    others = centres.select(*keys, F.col("first").alias("other"), *(F.col(n).alias(f"o{n}") for n in names))
+    far = F.greatest(*(F.abs(F.col(n) - F.col(f"o{n}")) for n in names)) if len(names) > 1 else F.abs(F.col(names[0]) - F.col(f"o{names[0]}"))
+    merged = looks.join(others, keys).where(far <= CELL / 4).groupBy("first").agg(F.min("other").alias("centre"), *(F.min_by(f"o{n}", "other").alias(f"o{n}") for n in names))
+    centre_of = centres.select(*keys, "first").join(merged, "first")
+    return in_cells.join(centre_of, keys).select("node", "centre", (far / CELL).alias("off"))
+
+
+def _unfinished(edges: DataFrame, hot: DataFrame | None, placed: DataFrame) -> DataFrame:
+    """(centre) of the clusters that an affinity leaves, or whose rows lie far from their centre."""
+    seen = _along(edges, placed, hot).groupBy(F.col("dst").alias("node")).agg(
+        F.min("centre").alias("lo"), F.max("centre").alias("hi"), F.max(F.when(F.col("own"), F.col("centre"))).alias("centre"), F.max(F.when(F.col("own"), F.col("off"))).alias("off")
+    )
+    return seen.where("lo <> hi or off > 0.1").select("centre").distinct()
+
+
+def _bundles(edges: DataFrame, space: DataFrame, level: int) -> DataFrame:
+    """(node, bundle): each row with the nearest of its neighbours whose hash is the least among their own neighbours; itself if it has none."""
+    names = [c for c in space.columns if c != "node"]
+    rank = F.xxhash64("src", F.lit(level))
+    picked = edges.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(rank.alias("r"), F.col("src"))).alias("m")).where("m.src = node").select(F.col("node").alias("src"))
+    at = space.select(F.col("node").alias("src"), *(F.col(n).alias(f"s{n}") for n in names))
+    near = edges.join(picked, "src").join(at, "src").join(space, F.col("dst") == F.col("node"))
+    square = sum((F.col(n) - F.col(f"s{n}")) * (F.col(n) - F.col(f"s{n}")) for n in names)
+    joined = near.groupBy("node").agg(F.min(F.struct((~F.col("own")).alias("other"), square.alias("far"), F.col("src"))).alias("m"))
+    return space.select("node").join(joined, "node", "left").select("node", F.coalesce("m.src", "node").alias("bundle"))
+
+
+def spectral_clusters(links: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(node, root): the cluster of every linked node, named by its smallest node; links (a, b, likeness)."""
     tidy = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("likeness").alias("w"))
     level = cut(tidy.groupBy("a", "b").agg(F.max("w").alias("w")), "level")
-    labels = cut(level.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    rows = None  # (node, label): rows of unfinished clusters and the bundle they are in; none before the first level
+    finished = []
     for depth in range(MAX_LEVELS):
         if not level.limit(1).count():
             break
-        placed = _level(level, depth, vectors, steps)
-        to = lambda name: placed.select(F.col("node").alias(name), F.col("centre").alias(f"{name}_to"))
-        crossed = level.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"), "w").where("x <> y")
-        crossed = crossed.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
+        edges = affinities(level)
+        edges = edges.repartition(*(["src", "salt"] if edges.where("salt > 0").limit(1).count() else ["src"])).persist()
+        hot = _hot(edges)
+        space = embed(edges, hot, depth, vectors_for(edges.where("own").count()), steps)
+        placed = cut(kmeans(space, depth), "placed")
+        unfinished = cut(_unfinished(edges, hot, placed), "unfinished")
+        done = placed.join(unfinished, "centre", "left_anti").select(F.col("node").alias("label"), F.col("centre").alias("root"))
+        if rows is None:
+            finished.append(cut(done.withColumnRenamed("label", "node"), "finished"))
+        else:
+            finished.append(cut(rows.join(done, "label").select("node", "root"), "finished"))
+        # the rest: bundles become the rows of the next level
+        open_rows = cut(placed.join(unfinished, "centre", "left_semi").select("node"), "open")
+        if not open_rows.limit(1).count():
+            edges.unpersist()
+            break
+        own_edges = cut(edges.join(open_rows.withColumnRenamed("node", "src"), "src").select("src", "dst", "own"), "open-edges")
+        to = cut(_bundles(own_edges, space.join(open_rows, "node"), depth), "bundles")
+        edges.unpersist()
+        a, b = (to.select(F.col("node").alias(n), F.col("bundle").alias(f"{n}_to")) for n in ("a", "b"))
+        crossed = level.join(a, "a").join(b, "b").where("a_to <> b_to")
+        crossed = crossed.groupBy(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).agg(F.sum("w").alias("w"))
         new_level = cut(crossed, "level")
-        new_labels = cut(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
-        for old in (level, labels, placed):
+        known = rows if rows is not None else to.select("node", F.col("node").alias("label"))
+        new_rows = cut(known.join(to.select(F.col("node").alias("label"), "bundle"), "label").select("node", F.col("bundle").alias("label")), "rows")
+        # a bundle that takes in all of its group has no affinities left: it is a cluster
+        alone = new_rows.join(new_level.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "label", "left_anti")
+        finished.append(cut(alone.select("node", F.col("label").alias("root")), "finished"))
+        for old in (level, space, placed, unfinished, open_rows, own_edges, to, *([rows] if rows is not None else [])):
             discard(old)
-        level, labels = new_level, new_labels
+        level, rows = new_level, new_rows
     else:
         raise RuntimeError("clusters did not settle")
-    roots = labels.groupBy("label").agg(F.min("node").alias("root"))
-    return labels.join(roots, "label").select("node", "root")
+    if not finished:
+        return level.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = finished[0]
+    for f in finished[1:]:
+        labels = labels.unionByName(f)
+    # bundles are named by any of their rows: clusters are named by their smallest
+    roots = labels.groupBy(F.col("root").alias("label")).agg(F.min("node").alias("root"))
+    return labels.withColumnRenamed("root", "label").join(roots, "label").select("node", "root")
 
 
 def with_copies(clusters: DataFrame, copies: DataFrame) -> DataFrame:

@@ -73,6 +73,43 @@ def test_chain_of_neighbours(spark):
     assert got == brute(rows) and len(got) == len(rows) - 1
 
 
+def link_rows(spark, pairs):
+    return spark.createDataFrame([(a, b, 0.8) for a, b in pairs], "a long, b long, likeness double")
+
+
+def clusters(spark, pairs):
+    return {(r.node, r.root) for r in spectral.spectral_clusters(link_rows(spark, pairs)).collect()}
+
+
+def test_long_chain_hub_and_cliques_joined_by_one_link(spark, monkeypatch):
+    """Groups that the first level can't finish, and a row whose affinities go to several tasks."""
+    monkeypatch.setattr(spectral, "HOT_EDGES", 20)
+    clique = lambda lo, hi: [(a, b) for a in range(lo, hi) for b in range(a + 1, hi)]
+    pairs = [(i, i + 1) for i in range(1, 150)] + [(1000, 1000 + k) for k in range(1, 90)] + clique(2000, 2025) + clique(2025, 2050) + [(2024, 2025)]
+    want = {(i, 1) for i in range(1, 151)} | {(1000 + k, 1000) for k in range(90)} | {(i, 2000) for i in range(2000, 2050)}
+    assert clusters(spark, pairs + pairs[:3] + [(5, 5)]) == want
+
+
+def test_groups_come_out_of_the_vectors(spark, monkeypatch):
+    """The same affinities with constant vectors give another result: nothing but the embedding tells groups apart."""
+    pairs = [(1, 2), (2, 3), (10, 11), (20, 21), (21, 22)]
+    assert clusters(spark, pairs) == {(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20), (22, 20)}
+    monkeypatch.setattr(spectral, "_start", lambda node, k, level: F.lit(0.5))
+    assert {root for _, root in clusters(spark, pairs)} == {1}
+
+
+def test_few_steps_leave_work_to_further_levels(spark):
+    pairs = [(i, i + 1) for i in range(1, 12)] + [(50, 51)]
+    got = spectral.spectral_clusters(link_rows(spark, pairs), steps=3)
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 1) for i in range(1, 13)} | {(50, 50), (51, 50)}
+
+
+def test_vectors_are_enough_to_keep_groups_apart():
+    assert spectral.vectors_for(1) == 3 and spectral.vectors_for(10**6) == 3 and spectral.vectors_for(10**10) == 4
+    for n in (10, 10**6, 10**9, 10**12):
+        assert (2 * spectral.CELL) ** spectral.vectors_for(n) * n * n / 2 < 1e-3
+
+
 def test_empty(spark):
     assert run(spark, [])[0] == set()
     assert run(spark, [(1, None)])[0] == set()
