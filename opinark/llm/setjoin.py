@@ -305,7 +305,7 @@ class _Local:
                 keep.append(k)
         if not keep:
             return
-        self.links.append((self.ids[i[keep]], self.ids[j[keep]], weight[keep]))
+        self.links.append((i[keep], j[keep], weight[keep]))
         moved = np.array(sorted(up), np.int64)
         for a in moved.tolist():  # ascending, so what a points to is final
             up[a] = up.get(up[a], up[a])
@@ -412,8 +412,8 @@ class _Local:
                 own = own[n:]
 
 
-def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (id, id, likeness) among records that meet in a group of one partition."""
+def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+    """Links (id, id, likeness, lead) among records that meet in a group of one partition; lead is the first record of those joined to them there."""
     task = _Local(ids, lens, codes, coder, like)
     if len(ids) > 1:
         rec, key, pos, depth = group_rows(task.starts, lens, codes, coder, like)
@@ -423,12 +423,13 @@ def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Cod
             own = depth == d
             task.run(rec[own], key[own], pos[own], int(d))
     if not task.links:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
-    return tuple(np.concatenate(x) for x in zip(*task.links))
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64), np.array([], np.int64)
+    i, j, weight = (np.concatenate(x) for x in zip(*task.links))
+    return ids[i], ids[j], weight, ids[task.label[i]]
 
 
 def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
-    """(a, b, likeness) links, a != b, and (row_id, rep) of rows that copy another row of their map task.
+    """(a, b, likeness, lead) links, a != b, and (row_id, rep) of rows that copy another row of their map task.
 
     sets: the table made by word_sets. Rows without a partner are in neither frame.
     """
@@ -491,12 +492,12 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
         ids, lens, codes = (np.concatenate(x) for x in zip(*got))
         order = np.argsort(ids)  # so that groups are led by their smallest ids in every task
         codes, ids, lens = codes[_gather(np.cumsum(lens) - lens, lens, order)], ids[order], lens[order]
-        a, b, w = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": w})
+        a, b, w, lead = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": w, "lead": lead})
 
     sent = cut(sets.mapInArrow(send, "part int, block binary"), "blocks")
     copies = sent.where("part = -1").mapInArrow(_copies, "row_id long, rep long")
-    links = sent.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long, likeness double")
+    links = sent.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long, likeness double, lead long")
     return cut(links.where("a <> b"), "links"), copies
 
 

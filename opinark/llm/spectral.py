@@ -6,6 +6,10 @@ a little staying in place, and m a momentum that speeds up the iteration. The ve
 as they are take one value on each group of rows joined by affinities, so rows of a group draw
 together, each group at a place of its own, and all else dies out.
 
+Rows of small groups mostly stand in one task: rows are sent to tasks by a hint of the set join, and where
+no affinity of a row and of all it is joined to leaves the task, all steps are made there at once. All
+other rows are iterated by joins across tasks. Where a row is iterated decides nothing but the cost.
+
 K-means then clusters the embedding alone: centres are the means of occupied cells of a fine grid,
 centres that lie together become one, rows belong to the centre nearest to them, whatever it is
 that joins them. No number of clusters need be given.
@@ -29,10 +33,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinark.runtime import cut, discard, lookup_join
+from opinark.runtime import cut, lookup_join
 
 MAX_LEVELS = 40
 #: Width of the grid's cells; start values lie between 0 and 1.
@@ -48,6 +54,9 @@ STEPS = math.ceil(math.log(100 / CELL) / -math.log(_FALL)) + 4
 CHUNK = 8
 #: Affinities of one row that one task takes.
 HOT_EDGES = 200_000
+#: Affinities that one task iterates by itself, on average, and the steps it makes before it leaves its rows to further levels.
+PART_EDGES = 100_000
+LOCAL_STEPS = 2_000
 
 
 def vectors_for(nodes: int) -> int:
@@ -84,14 +93,72 @@ def _along(edges: DataFrame, state: DataFrame, hot: DataFrame | None) -> DataFra
     return edges.join(spread.hint("shuffle_hash"), (edges.src == spread.node) & (edges.salt == spread.at))
 
 
-def _start(node: str, k: int, level: int) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(node, F.lit(k), F.lit(level)), 11).cast("double") / float(2**53)
+def _start(node: str, k: int, level: int, spread: float) -> F.Column:
+    u = F.shiftrightunsigned(F.xxhash64(node, F.lit(k), F.lit(level)), 11).cast("double") / float(2**53)
+    return F.lit(0.5) + (u - 0.5) * spread
+
+
+def start_values(nodes: np.ndarray, k: int, spread: float) -> np.ndarray:
+    """Random start values between 0 and 1 by node; constant ones for a spread of zero."""
+    x = nodes.astype(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for mix, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mix)
+    return 0.5 + ((x ^ (x >> np.uint64(31))) / 2.0**64 - 0.5) * spread
+
 
+def iterate_here(src: np.ndarray, dst: np.ndarray, w: np.ndarray, vectors: int, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, vectors, leaves, leads): power iteration for the affinities one task holds.
 
-def embed(edges: DataFrame, hot: DataFrame | None, level: int, vectors: int, steps: int = STEPS) -> DataFrame:
+    leaves: rows joined, directly or through others, to rows the task does not hold, or not settled; their vectors say nothing.
+    leads: for these, the first row they are joined to in this task.
+    """
+    nodes, to = np.unique(dst, return_inverse=True)
+    at = np.minimum(np.searchsorted(nodes, src), len(nodes) - 1)
+    inside = nodes[at] == src
+    leaves = np.zeros(len(nodes), bool)
+    leaves[to[~inside]] = True
+    a, b, w = at[inside], to[inside], w[inside]
+
+    def spread_flag() -> None:
+        while (more := ~leaves[a] & leaves[b]).any():
+            leaves[a[more]] = True
+
+    spread_flag()
+    kept = ~leaves[b]
+    a, b, w = a[kept], b[kept], w[kept]
+    p = w / np.bincount(b, w, len(nodes))[b] / (1 + STAY)
+    x = np.stack([start_values(nodes, k, spread) for k in range(vectors)])
+    old, left = x, np.ones(len(nodes), bool)
+    out = x.copy()
+    for step in range(LOCAL_STEPS):
+        m = MOMENTUM if step else 0.0
+        new = np.stack([(1 + m) * (np.bincount(b, p * x[k, a], len(nodes)) + STAY / (1 + STAY) * x[k]) - m * old[k] for k in range(vectors)])
+        x, old = new, x
+        if step >= STEPS - 1 and (step - STEPS + 1) % 25 == 0:  # settled rows stop, with all they are joined to
+            out[:, left] = x[:, left]
+            rough = np.zeros(len(nodes), bool)
+            rough[b[np.abs(x[:, a] - x[:, b]).max(0, initial=0.0) > CELL / 10_000]] = True
+            while (more := ~rough[a] & rough[b]).any():
+                rough[a[more]] = True
+            left = rough
+            on = rough[b]
+            a, b, p = a[on], b[on], p[on]
+            if not len(a):
+                break
+    leaves[np.concatenate([a, b])] = True
+    spread_flag()
+    a, b = at[inside], to[inside]
+    a, b = a[leaves[b]], b[leaves[b]]
+    leads = np.arange(len(nodes))
+    while (leads[a] < leads[b]).any():
+        np.minimum.at(leads, b, leads[a])
+    return nodes, out, leaves, nodes[leads]
+
+
+def embed(edges: DataFrame, hot: DataFrame | None, level: int, vectors: int, steps: int = STEPS, spread: float = 1.0) -> DataFrame:
     """(node, v0, v1, ...): the random start vectors after power iteration with momentum."""
     names = range(vectors)
-    state = edges.where("own").select(F.col("src").alias("node"), *(_start("src", k, level).alias(f"v{k}") for k in names), *(F.lit(0.0).alias(f"u{k}") for k in names))
+    state = edges.where("own").select(F.col("src").alias("node"), *(_start("src", k, level, spread).alias(f"v{k}") for k in names), *(F.lit(0.0).alias(f"u{k}") for k in names))
     for step in range(steps):
         m = MOMENTUM if step else 0.0
         share = F.when(F.col("own"), STAY).otherwise(F.col("p")) * ((1 + m) / (1 + STAY))
@@ -127,76 +194,131 @@ def kmeans(space: DataFrame, level: int = 0) -> DataFrame:
     return in_cells.join(centre_of, keys).select("node", "centre", (far / CELL).alias("off"))
 
 
-def _unfinished(edges: DataFrame, hot: DataFrame | None, placed: DataFrame) -> DataFrame:
-    """(centre) of the clusters that an affinity leaves, or whose rows lie far from their centre."""
-    seen = _along(edges, placed, hot).groupBy(F.col("dst").alias("node")).agg(
-        F.min("centre").alias("lo"), F.max("centre").alias("hi"), F.max(F.when(F.col("own"), F.col("centre"))).alias("centre"), F.max(F.when(F.col("own"), F.col("off"))).alias("off")
-    )
-    return seen.where("lo <> hi or off > 0.1").select("centre").distinct()
+def _crossed(edges: DataFrame, hot: DataFrame | None, placed: DataFrame) -> DataFrame:
+    """(centre) of the clusters that an affinity leaves."""
+    seen = _along(edges, placed, hot).groupBy(F.col("dst").alias("node")).agg(F.min("centre").alias("lo"), F.max("centre").alias("hi"), F.max(F.when(F.col("own"), F.col("centre"))).alias("centre"))
+    return seen.where("lo <> hi").select("centre")
 
 
-def _bundles(edges: DataFrame, space: DataFrame, level: int) -> DataFrame:
+def _bundles(links: DataFrame, space: DataFrame, level: int) -> DataFrame:
     """(node, bundle): each row with the nearest of its neighbours whose hash is the least among their own neighbours; itself if it has none."""
     names = [c for c in space.columns if c != "node"]
-    rank = F.xxhash64("src", F.lit(level))
-    picked = edges.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(rank.alias("r"), F.col("src"))).alias("m")).where("m.src = node").select(F.col("node").alias("src"))
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = links.select(F.explode(ways).alias("e")).select("e.src", "e.dst")
+    rank = lambda c: F.xxhash64(c, F.lit(level))
+    picked = both.groupBy("dst").agg(F.min(rank("src")).alias("least")).where(rank("dst") < F.col("least")).select(F.col("dst").alias("src"))
     at = space.select(F.col("node").alias("src"), *(F.col(n).alias(f"s{n}") for n in names))
-    near = edges.join(picked, "src").join(at, "src").join(space, F.col("dst") == F.col("node"))
+    near = both.join(picked, "src").join(at, "src").join(space, F.col("dst") == F.col("node"))
     square = sum((F.col(n) - F.col(f"s{n}")) * (F.col(n) - F.col(f"s{n}")) for n in names)
-    joined = near.groupBy("node").agg(F.min(F.struct((~F.col("own")).alias("other"), square.alias("far"), F.col("src"))).alias("m"))
+    joined = near.groupBy("node").agg(F.min(F.struct(square.alias("far"), F.col("src"))).alias("m"))
     return space.select("node").join(joined, "node", "left").select("node", F.coalesce("m.src", "node").alias("bundle"))
 
 
-def spectral_clusters(links: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(node, root): the cluster of every linked node, named by its smallest node; links (a, b, likeness)."""
-    tidy = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("likeness").alias("w"))
-    level = cut(tidy.groupBy("a", "b").agg(F.max("w").alias("w")), "level")
-    rows = None  # (node, label): rows of unfinished clusters and the bundle they are in; none before the first level
-    finished = []
-    for depth in range(MAX_LEVELS):
-        if not level.limit(1).count():
+def _in_parts(links: DataFrame, n_links: int, vectors: int, spread: float) -> tuple[DataFrame, DataFrame]:
+    """(node, v0, v1, ...) of the rows iterated in one task, and the links (a, b, w) of all others; links (a, b, w, lead)."""
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = links.select(F.explode(ways).alias("e"), "w", "lead").select("e.src", "e.dst", "w", "lead")
+    leads = cut(both.groupBy("dst").agg(F.min("lead").alias("lead"), F.count("*").alias("n")), "leads")
+    # a lead with more than a task's share is spread by row; a row with too many affinities is left to the joins
+    wide = leads.groupBy("lead").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * PART_EDGES).select("lead", F.ceil(F.col("n") / PART_EDGES).alias("salts"))
+    parts = math.ceil(2 * n_links / PART_EDGES)
+    salted = lookup_join(leads, wide, ["lead"], "left")
+    part = F.pmod(F.xxhash64("lead", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dst"), F.col("salts"))).otherwise(0)), F.lit(parts))
+    sent = both.drop("lead").join(salted.select("dst", F.when(F.col("n") > HOT_EDGES, -1).otherwise(part).cast("int").alias("part")), "dst")
+    names = [f"v{k}" for k in range(vectors)]
+    schema = "src long, dst long, w double, lead long, " + ", ".join(f"{n} double" for n in names)
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "w"))
+        nodes, found, leaves, leads = iterate_here(src, dst, w, vectors, spread)
+        place = np.searchsorted(nodes, dst)
+        out = leaves[place]  # each link comes from both its ends, with the lead of either
+        n, settled = int(out.sum()), ~leaves
+        no = int(settled.sum())
+        columns = [src[out], dst[out], w[out], leads[place[out]]]
+        rows = {c: pa.concat_arrays([pa.array(x), pa.nulls(no, pa.array(x).type)]) for c, x in zip(("src", "dst", "w", "lead"), columns)}
+        rows["dst"] = np.concatenate([dst[out], nodes[settled]])
+        return pa.table(rows | {v: pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(found[k, settled])]) for k, v in enumerate(names)})
+
+    ran = cut(sent.where("part >= 0").select("part", "src", "dst", "w").groupBy("part").applyInArrow(run, schema), "iterated")
+    left = ran.where("src is not null").select("src", "dst", "w", "lead").unionByName(sent.where("part < 0").select("src", "dst", "w", F.least("src", "dst").alias("lead")))
+    left = left.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("w").alias("w"), F.min("lead").alias("lead"))
+    return ran.where("src is null").select(F.col("dst").alias("node"), *names), cut(left, "left")
+
+
+def _space(links: DataFrame, level: int, steps: int, vectors: int, spread: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(node, v0, v1, ...) of all rows of the links, and the affinities (and hot rows) of those iterated by joins."""
+    n, spaces = links.count(), []
+    while n:  # what one task can't iterate is sent to fewer tasks, as long as that helps
+        settled, links = _in_parts(links, n, vectors, spread)
+        spaces.append(settled)
+        before, n = n, links.count()
+        if n > 0.8 * before:
             break
-        edges = affinities(level)
+    edges = hot = None
+    if n:
+        edges = affinities(links)
         edges = edges.repartition(*(["src", "salt"] if edges.where("salt > 0").limit(1).count() else ["src"])).persist()
         hot = _hot(edges)
-        space = embed(edges, hot, depth, vectors_for(edges.where("own").count()), steps)
+        spaces.append(embed(edges, hot, level, vectors, steps, spread))
+    space = spaces[0]
+    for more in spaces[1:]:
+        space = space.unionByName(more)
+    return space, edges, hot
+
+
+def spectral_clusters(links: DataFrame, steps: int = STEPS, spread: float = 1.0) -> DataFrame:
+    """(node, root): the cluster of every linked node, named by its smallest node.
+
+    links (a, b, likeness, lead); lead is any hint at which rows belong together, and may be missing.
+    spread is the range of the random start values; at zero the vectors are constant and all rows one cluster.
+    """
+    lead = F.col("lead") if "lead" in links.columns else F.least("a", "b")
+    tidy = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("likeness").alias("w"), lead.alias("lead"))
+    level = cut(tidy.groupBy("a", "b").agg(F.max("w").alias("w"), F.min("lead").alias("lead")), "level")
+    n = level.count()
+    if not n:
+        return level.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    vectors = vectors_for(2 * n)
+    rows = None  # (node, label): rows of unfinished clusters and the bundle they are in; none before the first level
+    finished = []
+    for depth in range(MAX_LEVELS):
+        space, edges, hot = _space(level, depth, steps, vectors, spread)
         placed = cut(kmeans(space, depth), "placed")
-        unfinished = cut(_unfinished(edges, hot, placed), "unfinished")
+        unfinished = placed.where("off > 0.1").select("centre")
+        if edges is not None:
+            unfinished = unfinished.unionByName(_crossed(edges, hot, placed))
+        unfinished = cut(unfinished.distinct(), "unfinished")
         done = placed.join(unfinished, "centre", "left_anti").select(F.col("node").alias("label"), F.col("centre").alias("root"))
-        if rows is None:
-            finished.append(cut(done.withColumnRenamed("label", "node"), "finished"))
-        else:
-            finished.append(cut(rows.join(done, "label").select("node", "root"), "finished"))
-        # the rest: bundles become the rows of the next level
-        open_rows = cut(placed.join(unfinished, "centre", "left_semi").select("node"), "open")
-        if not open_rows.limit(1).count():
+        finished.append(done.withColumnRenamed("label", "node") if rows is None else rows.join(done, "label").select("node", "root"))
+        if edges is not None:
             edges.unpersist()
+        if not unfinished.limit(1).count():
             break
-        own_edges = cut(edges.join(open_rows.withColumnRenamed("node", "src"), "src").select("src", "dst", "own"), "open-edges")
-        to = cut(_bundles(own_edges, space.join(open_rows, "node"), depth), "bundles")
-        edges.unpersist()
+        # the rest: bundles become the rows of the next level
+        open_rows = cut(placed.join(unfinished, "centre", "left_semi").select("node"), "open")
+        open_links = cut(level.join(open_rows.withColumnRenamed("node", "a"), "a").join(open_rows.withColumnRenamed("node", "b"), "b").select("a", "b", "w"), "open-links")
+        to = cut(_bundles(open_links, space.join(open_rows, "node"), depth), "bundles")
         a, b = (to.select(F.col("node").alias(n), F.col("bundle").alias(f"{n}_to")) for n in ("a", "b"))
-        crossed = level.join(a, "a").join(b, "b").where("a_to <> b_to")
-        crossed = crossed.groupBy(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).agg(F.sum("w").alias("w"))
-        new_level = cut(crossed, "level")
+        crossed = open_links.join(a, "a").join(b, "b").where("a_to <> b_to")
+        level = cut(crossed.groupBy(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).agg(F.sum("w").alias("w"), F.min(F.least("a_to", "b_to")).alias("lead")), "level")
         known = rows if rows is not None else to.select("node", F.col("node").alias("label"))
-        new_rows = cut(known.join(to.select(F.col("node").alias("label"), "bundle"), "label").select("node", F.col("bundle").alias("label")), "rows")
+        rows = cut(known.join(to.select(F.col("node").alias("label"), "bundle"), "label").select("node", F.col("bundle").alias("label")), "rows")
         # a bundle that takes in all of its group has no affinities left: it is a cluster
-        alone = new_rows.join(new_level.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "label", "left_anti")
-        finished.append(cut(alone.select("node", F.col("label").alias("root")), "finished"))
-        for old in (level, space, placed, unfinished, open_rows, own_edges, to, *([rows] if rows is not None else [])):
-            discard(old)
-        level, rows = new_level, new_rows
+        alone = rows.join(level.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "label", "left_anti")
+        finished.append(alone.select("node", F.col("label").alias("root")))
+        if not level.limit(1).count():
+            break
     else:
         raise RuntimeError("clusters did not settle")
-    if not finished:
-        return level.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = finished[0]
     for f in finished[1:]:
         labels = labels.unionByName(f)
+    if len(finished) == 1:
+        return labels
     # bundles are named by any of their rows: clusters are named by their smallest
-    roots = labels.groupBy(F.col("root").alias("label")).agg(F.min("node").alias("root"))
-    return labels.withColumnRenamed("root", "label").join(roots, "label").select("node", "root")
+    labels = cut(labels.withColumnRenamed("root", "label"), "labels")
+    return labels.join(labels.groupBy("label").agg(F.min("node").alias("root")), "label").select("node", "root")
 
 
 def with_copies(clusters: DataFrame, copies: DataFrame) -> DataFrame:

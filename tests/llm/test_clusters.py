@@ -84,26 +84,39 @@ def clusters(spark, pairs):
 def test_long_chain_hub_and_cliques_joined_by_one_link(spark, monkeypatch):
     """Groups that the first level can't finish, and a row whose affinities go to several tasks."""
     monkeypatch.setattr(spectral, "HOT_EDGES", 20)
+    monkeypatch.setattr(spectral, "PART_EDGES", 30)
     clique = lambda lo, hi: [(a, b) for a in range(lo, hi) for b in range(a + 1, hi)]
     pairs = [(i, i + 1) for i in range(1, 150)] + [(1000, 1000 + k) for k in range(1, 90)] + clique(2000, 2025) + clique(2025, 2050) + [(2024, 2025)]
     want = {(i, 1) for i in range(1, 151)} | {(1000 + k, 1000) for k in range(90)} | {(i, 2000) for i in range(2000, 2050)}
     assert clusters(spark, pairs + pairs[:3] + [(5, 5)]) == want
 
 
-def test_groups_come_out_of_the_vectors(spark, monkeypatch):
+def test_groups_come_out_of_the_vectors(spark):
     """The same affinities with constant vectors give another result: nothing but the embedding tells groups apart."""
     pairs = [(1, 2), (2, 3), (10, 11), (20, 21), (21, 22)]
     assert clusters(spark, pairs) == {(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20), (22, 20)}
-    monkeypatch.setattr(spectral, "_start", lambda node, k, level: F.lit(0.5))
-    assert {root for _, root in clusters(spark, pairs)} == {1}
+    for part_edges in (spectral.PART_EDGES, 2):  # iterated in one task, and across tasks
+        spectral.PART_EDGES, kept = part_edges, spectral.PART_EDGES
+        try:
+            assert {r.root for r in spectral.spectral_clusters(link_rows(spark, pairs), spread=0.0).collect()} == {1}
+        finally:
+            spectral.PART_EDGES = kept
 
 
-def test_few_steps_leave_work_to_further_levels(spark):
+def test_few_steps_leave_work_to_further_levels(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "PART_EDGES", 4)
     pairs = [(i, i + 1) for i in range(1, 12)] + [(50, 51)]
     got = spectral.spectral_clusters(link_rows(spark, pairs), steps=3)
     assert {(r.node, r.root) for r in got.collect()} == {(i, 1) for i in range(1, 13)} | {(50, 50), (51, 50)}
 
 
+def test_rows_joined_to_rows_of_other_tasks_are_left_to_the_joins():
+    src, dst = np.array([2, 1, 3, 2, 9, 5, 6]), np.array([1, 2, 2, 3, 3, 6, 5])  # 9 is held elsewhere
+    nodes, found, leaves, leads = spectral.iterate_here(src, dst, np.ones(7), 3, 1.0)
+    assert nodes.tolist() == [1, 2, 3, 5, 6] and leaves.tolist() == [True] * 3 + [False] * 2 and leads[:3].tolist() == [1] * 3
+    assert np.abs(found[:, 3] - found[:, 4]).max() < spectral.CELL / 100
+
+
 def test_vectors_are_enough_to_keep_groups_apart():
     assert spectral.vectors_for(1) == 3 and spectral.vectors_for(10**6) == 3 and spectral.vectors_for(10**10) == 4
     for n in (10, 10**6, 10**9, 10**12):
@@ -139,7 +152,7 @@ def test_hot_words_are_split_by_more_words(monkeypatch):
             return x
 
         for part in range(3):
-            a, b, _ = setjoin.local_links(ids, lens, codes, coder, setjoin.Likeness(), part, 3)
+            a, b, _, _ = setjoin.local_links(ids, lens, codes, coder, setjoin.Likeness(), part, 3)
             for x, y in zip(a.tolist(), b.tolist()):
                 p, q = top(x), top(y)
                 up[max(p, q)] = min(p, q)
@@ -171,7 +184,7 @@ def test_short_sets_without_a_further_word_meet_in_the_group_they_are_in(monkeyp
             return x
 
         for part in range(3):
-            a, b, _ = setjoin.local_links(ids, lens, codes, coder, setjoin.Likeness(), part, 3)
+            a, b, _, _ = setjoin.local_links(ids, lens, codes, coder, setjoin.Likeness(), part, 3)
             for x, y in zip(a.tolist(), b.tolist()):
                 p, q = top(x), top(y)
                 up[max(p, q)] = min(p, q)
