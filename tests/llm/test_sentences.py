@@ -56,6 +56,33 @@ def test_offsets_cover_all_but_white_space_and_tags():
         assert all(not masked[a].isspace() and not masked[b - 1].isspace() for a, b in spans)
 
 
+MORE_CASES = [
+    ("We sell it. Acme Ltd.\nboxes are fine.", ["We sell it.", "Acme Ltd.\nboxes are fine."]),
+    ("we left at 6 p.m.\nthere it was.", ["we left at 6 p.m.", "there it was."]),
+    ("IT MEASURES 3.1 X 1 IN. AND WEIGHS 2 LBS. WITHOUT THE LID. GOOD.", ["IT MEASURES 3.1 X 1 IN. AND WEIGHS 2 LBS. WITHOUT THE LID.", "GOOD."]),
+    ('"it broke. twice." is what he told us. then silence.', ['"it broke. twice." is what he told us.', "then silence."]),
+    ('"it broke. twice." was it true? yes.', ['"it broke. twice."', "was it true?", "yes."]),
+    ("Es kam am\n11. März an. Gut.", ["Es kam am\n11. März an.", "Gut."]),
+    ("1. Lid\n2. Box\n3. Am\n4. Ende", ["1. Lid", "2. Box", "3. Am", "4. Ende"]),
+    ("1. Lid\n  a) red\n  b) blue\n2. Box", ["1. Lid", "a) red", "b) blue", "2. Box"]),
+    ("“好。”老师写道。“好。”我喜欢，他问过。", ["“好。”老师写道。", "“好。”", "我喜欢，他问过。"]),
+]
+
+
+@pytest.mark.parametrize("text, want", MORE_CASES)
+def test_abbreviations_quotations_and_list_levels(text, want):
+    assert cut(text) == want
+
+
+@pytest.mark.parametrize("unit", ["Mr. Lane, ", "5 in. a, ", "a.b.", "(a.) b ", '"A." b ', "a... b ", "a...b", "a b c d\n", "1. a\n", "A B C D E\n", "👍)", "(]\"[)", "(", '(("«', "“好。”他，"])
+def test_time_grows_with_the_text(unit):
+    import time
+
+    began = time.process_time()
+    sentences.sentences(unit * 30_000)
+    assert time.process_time() - began < 8
+
+
 def test_long_text_is_linear():
     assert len(sentences.sentences("It works well. " * 20_000)) == 20_000
     assert len(sentences.sentences("x" * 500_000)) == 1
