@@ -2,29 +2,35 @@
 
 A packed field holds a list as text, in an unknown notation: bracketed or bare, with any of
 several separators, items quoted or not. Each field is read as a lattice whose nodes are the
-possible item boundaries. A quoted span is one atomic edge. A path fixes one separator for the
-whole field, as producers never mix them. Expectation-maximisation learns from the whole column
-how often each value occurs: fields with one possible path count fully, the others by the
-posterior of their paths. Viterbi then keeps the best path of each field.
+possible item boundaries: one chain of pieces for each separator the field may use, as producers
+never mix them. A quoted span is one atomic piece. An edge is a value: one piece, or several with
+the separators between them where the field must have fewer places than pieces.
 
-Two columns of a row may be declared parallel (a label list and its score list): paths that
-give unequal numbers of places are then out, unless no pair of paths agrees.
+Two columns of a row may be declared parallel (a label list and its score list): a path through both
+lattices has equally many places in either. Where no pair of chains has, edges over several pieces are
+added to both; where that does not help either, the columns are split each by itself.
+
+Expectation-maximisation learns from the whole column how often each value occurs: the forward-backward
+pass over a row's lattices gives the expected count of each edge. Viterbi then keeps the best path. Lattices
+with one path need no rates, so only the others' edges meet the value table.
 
 Defined results: null, blank and empty-list fields give no rows; an empty place between
 separators takes a position and gives no row; repeated values are all listed; fields in which no
-path fits the value type are given as one value; extra columns are not looked at.
+path fits the value type are given as one value; of equally likely paths the one with more places is kept,
+then that of the first separator; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Decimal, InvalidOperation
 from functools import lru_cache
-from itertools import combinations
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinark.runtime import cut, lookup_join
@@ -34,8 +40,8 @@ _QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "`": "`"}
 #: A quote that closes and opens again around a separator: the span holds several items.
 _REOPENED = {q: re.compile(rf"(?<!\\){re.escape(c)}(\s*[,;|/\t]\s*|\s+){re.escape(q)}") for q, c in _QUOTES.items()}
 _NUMBER = re.compile(r"[-+]?(\d+([.,]\d*)?|[.,]\d+)([eE][-+]?\d+)?")
-#: Most lattice paths with literal separators that are listed for one field; wider fields keep the full split.
-MERGE_PATHS = 200
+#: Pieces that one value may take beyond the mean that the places ask for.
+WIDER = 8
 
 
 def _quoted(s: str, i: int, sep: str | None) -> tuple[str, int] | None:
@@ -119,13 +125,16 @@ def number_text(value: str) -> str | None:
         return None
 
 
-@lru_cache(maxsize=50_000)
-def paths(field: str | None, numeric: bool, wanted: int | None = None) -> tuple[tuple[str, ...], ...]:
-    """The lattice paths of one field, as tuples of clean values with "" for empty places.
+class Chain(NamedTuple):
+    """The readings of a field by one separator: `nodes` boundaries after the first, and edges (from, to, value)."""
 
-    No path: the field holds no list. With wanted, literal separators are allowed where no full
-    split has so many places.
-    """
+    nodes: int
+    edges: tuple[tuple[int, int, str], ...]
+
+
+@lru_cache(maxsize=50_000)
+def lattice(field: str | None, numeric: bool, widest: int = 1) -> tuple[Chain, ...]:
+    """The chains of one field, values clean with "" for empty places, edges over `widest` pieces at most; none if it holds no list."""
     s = (field or "").strip()
     if not s:
         return ()
@@ -137,8 +146,7 @@ def paths(field: str | None, numeric: bool, wanted: int | None = None) -> tuple[
         bodies.append((inner, True))
     if not bodies or "]" in s[1:-1]:
         bodies.append((s, False))
-    found: dict[tuple[str, ...], None] = {}
-    full: list[tuple[tuple[tuple[str, bool], ...], str]] = []
+    found: dict[Chain, None] = {}
     for body, bracketed in bodies:
         for sep in (None, *SEPARATORS, " "):
             if sep == " " and not (bracketed or numeric):
@@ -150,34 +158,139 @@ def paths(field: str | None, numeric: bool, wanted: int | None = None) -> tuple[
                 continue
             if bracketed and numeric is False and sep is None and not got[0][1] and got[0][0].count("'") > 2:
                 continue
-            values = tuple(_clean(v, q, numeric) for v, q in got)
-            if any(v is None for v in values):
-                continue
-            found[values] = None
+            edges = [(k, k + 1, _clean(v, q, numeric)) for k, (v, q) in enumerate(got)]
             if sep not in (None, " "):
-                full.append((got, sep))
-    if wanted and all(len(v) != wanted for v in found):
-        for got, sep in full:
-            if len(got) <= wanted:
-                continue
-            spans = list(combinations(range(1, len(got)), wanted - 1)) if _ways(len(got) - 1, wanted - 1) <= MERGE_PATHS else []
-            for cuts in spans:
-                edges = [0, *cuts, len(got)]
-                values = tuple(_clean(sep.join(v for v, _ in got[a:b]) if b - a > 1 else got[a][0], b - a == 1 and got[a][1], numeric) for a, b in zip(edges, edges[1:]))
-                if not any(v is None for v in values):
-                    found[values] = None
+                for a in range(len(got)):
+                    for b in range(a + 2, min(a + widest, len(got)) + 1):
+                        if got[a][1] or got[b - 1][1]:
+                            break  # a quoted span is a value of its own
+                        edges.append((a, b, _clean(sep.join(v for v, _ in got[a:b]), False, numeric)))
+            chain = Chain(len(got), tuple((a, b, v) for a, b, v in edges if v is not None))
+            if _ways(chain):
+                found[chain] = None
     if not found:
-        found[(s,)] = None
+        found[Chain(1, ((0, 1, s),))] = None
     return tuple(found)
 
 
-def _ways(n: int, k: int) -> int:
-    out = 1
-    for i in range(min(k, n - k) if k <= n else 0):
-        out = out * (n - i) // (i + 1)
+@lru_cache(maxsize=50_000)
+def _ways(chain: Chain) -> dict[int, int]:
+    """How many paths a chain has, by their number of places."""
+    at: list[dict[int, int]] = [{0: 1}] + [{} for _ in range(chain.nodes)]
+    for a, b, _ in sorted(chain.edges):
+        for n, k in at[a].items():
+            at[b][n + 1] = at[b].get(n + 1, 0) + k
+    return at[-1]
+
+
+def _places(chains: tuple[Chain, ...]) -> dict[int, int]:
+    """How many paths a field's lattice has, by their number of places."""
+    out: dict[int, int] = {}
+    for chain in chains:
+        for n, k in _ways(chain).items():
+            out[n] = out.get(n, 0) + k
+    return out
+
+
+def row_lattices(a: str | None, b: str | None, numeric: tuple[bool, bool], parallel: bool) -> tuple[tuple[Chain, ...], tuple[Chain, ...], list[int] | None]:
+    """The lattices of a row's two fields, and the numbers of places both may have; None if they are split apart."""
+    left, right = lattice(a, numeric[0]), lattice(b, numeric[1])
+    if not parallel or not left or not right:
+        return left, right, None
+    na, nb = _places(left), _places(right)
+    if both := sorted(na.keys() & nb.keys()):
+        return left, right, both
+    most, least = max(*na, *nb), min(*na, *nb)
+    wide = [lattice(f, x, math.ceil(most / least) + WIDER) for f, x in zip((a, b), numeric)]
+    both = sorted((_places(wide[0]).keys() & nb.keys()) | (na.keys() & _places(wide[1]).keys()))
+    return (*wide, both) if both else (left, right, None)
+
+
+def _tables(chain: Chain, rate, join) -> tuple[list[dict[int, float]], list[dict[int, float]]]:
+    """Weights of all ways from the start to each node, and from each node to the end, by places; weights are logarithms."""
+    ahead: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(chain.nodes)]
+    behind: list[dict[int, float]] = [{} for _ in range(chain.nodes)] + [{0: 0.0}]
+    edges = sorted(chain.edges)
+    for a, b, v in edges:
+        for n, w in ahead[a].items():
+            x = w + rate(v)
+            ahead[b][n + 1] = join(ahead[b][n + 1], x) if n + 1 in ahead[b] else x
+    for a, b, v in sorted(edges, key=lambda e: -e[1]):
+        for n, w in behind[b].items():
+            x = w + rate(v)
+            behind[a][n + 1] = join(behind[a][n + 1], x) if n + 1 in behind[a] else x
+    return ahead, behind
+
+
+def _log_sum(a: float, b: float) -> float:
+    hi, lo = (a, b) if a > b else (b, a)
+    return hi + math.log1p(math.exp(lo - hi))
+
+
+def expected(fields: tuple[tuple[Chain, ...], ...], allowed: list[int] | None, rates) -> list[tuple[int, str, float]]:
+    """(field, value, expected count) by the forward-backward pass over a row's lattices; rates[f](value) is a logarithm."""
+    tables = [[_tables(c, rates[f], _log_sum) for c in chains] for f, chains in enumerate(fields)]
+    totals: list[dict[int, float]] = []
+    for of_field in tables:
+        total: dict[int, float] = {}
+        for ahead, _ in of_field:
+            for n, w in ahead[-1].items():
+                total[n] = _log_sum(total[n], w) if n in total else w
+        totals.append(total)
+    out = []
+    for f, chains in enumerate(fields):
+        if not chains:
+            continue
+        # the weight of the other field's paths with as many places
+        other = {n: totals[1 - f][n] for n in allowed if n in totals[1 - f] and n in totals[f]} if allowed is not None else dict.fromkeys(totals[f], 0.0)
+        whole = None
+        for n, w in other.items():
+            whole = totals[f][n] + w if whole is None else _log_sum(whole, totals[f][n] + w)
+        for chain, (ahead, behind) in zip(chains, tables[f]):
+            for a, b, v in chain.edges:
+                p = sum(math.exp(x + rates[f](v) + y + other[n + m + 1] - whole) for n, x in ahead[a].items() for m, y in behind[b].items() if n + m + 1 in other)
+                if p > 1e-9:
+                    out.append((f, v, p))
+    return out
+
+
+def viterbi(fields: tuple[tuple[Chain, ...], ...], allowed: list[int] | None, rates) -> list[tuple[str, ...]]:
+    """The values of the best path through both lattices of a row."""
+    best: list[dict[int, tuple[float, tuple]]] = []
+    for f, chains in enumerate(fields):
+        found: dict[int, tuple[float, tuple]] = {}
+        for chain in chains:
+            at: list[dict[int, tuple[float, tuple]]] = [{0: (0.0, ())}] + [{} for _ in range(chain.nodes)]  # values as nested pairs
+            for a, b, v in sorted(chain.edges):
+                for n, (w, way) in at[a].items():
+                    if n + 1 not in at[b] or w + rates[f](v) > at[b][n + 1][0]:
+                        at[b][n + 1] = (w + rates[f](v), (way, v))
+            for n, got in at[-1].items():
+                if n not in found or got[0] > found[n][0] + 1e-12:
+                    found[n] = got
+        best.append(found)
+    if allowed is not None:
+        n = max((n for n in allowed if n in best[0] and n in best[1]), key=lambda n: (round(best[0][n][0] + best[1][n][0], 9), n))
+        picked = [best[0][n][1], best[1][n][1]]
+    else:
+        picked = [max(x.items(), key=lambda e: (round(e[1][0], 9), e[0]))[1][1] if x else () for x in best]
+    out = []
+    for way in picked:
+        values = []
+        while way:
+            way, v = way
+            values.append(v)
+        out.append(tuple(reversed(values)))
     return out
 
 
+def _one_path(fields: tuple[tuple[Chain, ...], ...], allowed: list[int] | None) -> bool:
+    na, nb = map(_places, fields)
+    if allowed is not None:
+        return sum(na.get(n, 0) * nb.get(n, 0) for n in allowed) == 1
+    return sum(na.values()) <= 1 and sum(nb.values()) <= 1
+
+
 def _clean(value: str, quoted: bool, numeric: bool) -> str | None:
     if numeric:
         return number_text(value)
@@ -191,17 +304,6 @@ def shape(value: str, numeric: bool) -> str:
     return value if not numeric else ("nan" if value == "nan" else value.partition(".")[0])
 
 
-def _joint(a: str | None, b: str | None, numeric: tuple[bool, bool], parallel: bool) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
-    left, right = paths(a, numeric[0]) or ((),), paths(b, numeric[1]) or ((),)
-    if not parallel or left == ((),) or right == ((),):
-        return [(x, y) for x in left for y in right]
-    agree = [(x, y) for x in left for y in right if len(x) == len(y)]
-    if not agree:
-        wide = [(x, y) for y in right for x in paths(a, numeric[0], len(y)) if len(x) == len(y)]
-        agree = wide or [(x, y) for x in left for y in right]
-    return agree
-
-
 def split_packed(
     rows: DataFrame,
     key: str,
@@ -213,66 +315,81 @@ def split_packed(
 ) -> DataFrame:
     """One row per value of two packed columns: (key, field_name, pos, item_value), pos from 1.
 
-    key must be unique. Only fields with several possible paths take part in the EM joins; the
-    value table is counted before it is broadcast and joined by shuffle when it is large.
+    key must be unique. The value table is counted before it is broadcast and joined by shuffle when it is large.
     """
     key_type = rows.schema[key].dataType.simpleString()
+    zero = (lambda v: 0.0, lambda v: 0.0)
+
+    def text(x) -> str | None:
+        return x if isinstance(x, str) else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hyps = []
+            out: dict[str, list] = {"a": [], "b": [], "sure": []}
             for a, b in zip(pdf["a"], pdf["b"]):
-                joint = _joint(a if isinstance(a, str) else None, b if isinstance(b, str) else None, numeric, parallel)
-                hyps.append([{"a": list(x), "b": list(y)} for x, y in joint])
-            yield pd.DataFrame({"k": pdf["k"], "hyps": hyps})
+                *both, allowed = row_lattices(text(a), text(b), numeric, parallel)
+                sure = _one_path(tuple(both), allowed)
+                left, right = viterbi(tuple(both), allowed, zero) if sure else ((), ())
+                out["a"].append(list(left))
+                out["b"].append(list(right))
+                out["sure"].append(sure)
+            yield pd.DataFrame({"k": pdf["k"], "a": out["a"], "b": out["b"], "sure": out["sure"], "ta": pdf["a"].where([not s for s in out["sure"]], None), "tb": pdf["b"].where([not s for s in out["sure"]], None)})
 
     source = rows.select(F.col(key).alias("k"), F.col(fields[0]).alias("a"), F.col(fields[1]).alias("b"))
-    read_rows = source.mapInPandas(read, f"k {key_type}, hyps array<struct<a:array<string>,b:array<string>>>")
-    lattice = cut(read_rows.withColumn("n", F.size("hyps")), "lattice")
+    ran = cut(source.mapInPandas(read, f"k {key_type}, a array<string>, b array<string>, sure boolean, ta string, tb string"), "lattice")
 
-    def values(of: DataFrame, *keep: str) -> DataFrame:
-        """(keep..., field, value) of every non-empty place of every path in column h."""
-        def side(name: str, index: int) -> DataFrame:
-            v = F.when(F.col("v") == "nan", "nan").otherwise(F.substring_index("v", ".", 1)) if numeric[index] else F.col("v")
-            return of.select(*keep, F.explode(F.col(f"h.{name}")).alias("v")).where("v <> ''").select(*keep, F.lit(index).alias("field"), v.alias("value"))
-        return side("a", 0).unionByName(side("b", 1))
+    def counted(name: str, index: int) -> DataFrame:
+        v = F.when(F.col("v") == "nan", "nan").otherwise(F.substring_index("v", ".", 1)) if numeric[index] else F.col("v")
+        return ran.where("sure").select(F.explode(name).alias("v")).where("v <> ''").select(F.lit(index).alias("field"), v.alias("value"))
 
-    sure = values(lattice.where("n = 1").select(F.col("hyps")[0].alias("h"))).groupBy("field", "value").agg(F.count("*").cast("double").alias("mass"))
+    sure = counted("a", 0).unionByName(counted("b", 1)).groupBy("field", "value").agg(F.count("*").cast("double").alias("mass"))
     sure = cut(sure, "sure-values")
-    open_paths = lattice.where("n > 1").select("k", F.posexplode("hyps").alias("path", "h"))
-    open_values = cut(values(open_paths, "k", "path"), "open-values")
+    unsure = ran.where("not sure").select("k", "ta", "tb")
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for k, a, b in zip(pdf["k"], pdf["ta"], pdf["tb"]):
+                *both, _ = row_lattices(text(a), text(b), numeric, parallel)
+                found.extend((k, f, v) for f, chains in enumerate(both) for v in {shape(v, numeric[f]) for c in chains for _, _, v in c.edges})
+            yield pd.DataFrame(found, columns=["k", "field", "value"])
+
+    # the values that the open lattices ask rates for
+    asked = cut(unsure.mapInPandas(edges, f"k {key_type}, field int, value string"), "open-values")
+
+    def rated(table: DataFrame) -> DataFrame:
+        """(k, ta, tb, rates) of the open rows; rates holds the logarithms for all values of their edges."""
+        totals = table.groupBy("field").agg(F.sum("mass").alias("total"), F.count("*").alias("kinds"))
+        share = F.log((F.coalesce("mass", F.lit(0.0)) + smoothing) / (F.coalesce("total", F.lit(0.0)) + smoothing * (F.coalesce("kinds", F.lit(0)) + 1)))
+        rates = lookup_join(asked, table, ["field", "value"], "left").join(F.broadcast(totals), "field", "left")  # two rows at most
+        listed = rates.groupBy("k").agg(F.collect_list(F.struct("field", "value", share.alias("rate"))).alias("rates"))
+        return unsure.join(listed, "k", "left")
+
+    def with_rates(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for k, a, b, listed in zip(pdf["k"], pdf["ta"], pdf["tb"], pdf["rates"]):
+            *both, allowed = row_lattices(text(a), text(b), numeric, parallel)
+            known = {(r["field"], r["value"]): r["rate"] for r in (listed if listed is not None else ())}
+            yield k, tuple(both), allowed, tuple(lambda v, f=f: known.get((f, shape(v, numeric[f])), 0.0) if v else 0.0 for f in (0, 1))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mass: dict[tuple[int, str], float] = {}
+            for _, both, allowed, rates in with_rates(pdf):
+                for f, v, p in expected(both, allowed, rates):
+                    if v:
+                        mass[f, shape(v, numeric[f])] = mass.get((f, shape(v, numeric[f])), 0.0) + p
+            yield pd.DataFrame([(*k, p) for k, p in mass.items()], columns=["field", "value", "mass"])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(k, *map(list, viterbi(both, allowed, rates))) for k, both, allowed, rates in with_rates(pdf)]
+            yield pd.DataFrame(got, columns=["k", "a", "b"])
 
     table = sure
     for _ in range(em_rounds):
-        posterior = _posterior(open_values, table, smoothing)
-        expected = open_values.join(posterior, ["k", "path"]).groupBy("field", "value").agg(F.sum("p").alias("mass"))
-        table = cut(sure.unionByName(expected).groupBy("field", "value").agg(F.sum("mass").alias("mass")), "value-table")
-    best = (
-        _posterior(open_values, table, smoothing)
-        .groupBy("k")
-        .agg(F.max_by("path", F.struct("p", "places", -F.col("path"))).alias("best"))
-    )
-    chosen = lattice.where("n = 1").select("k", F.col("hyps")[0].alias("h")).unionByName(
-        lattice.where("n > 1").join(best, "k", "left").select("k", F.get("hyps", F.coalesce("best", F.lit(0))).alias("h"))
-    )
-    listed = chosen.select("k", F.explode(F.array(F.struct(F.lit(fields[0]).alias("f"), F.col("h.a").alias("vs")), F.struct(F.lit(fields[1]).alias("f"), F.col("h.b").alias("vs")))).alias("s"))
+        learned = rated(table).mapInPandas(count, "field int, value string, mass double")
+        table = cut(sure.unionByName(learned).groupBy("field", "value").agg(F.sum("mass").alias("mass")), "value-table")
+    chosen = ran.where("sure").select("k", "a", "b").unionByName(rated(table).mapInPandas(choose, f"k {key_type}, a array<string>, b array<string>"))
+    listed = chosen.select("k", F.explode(F.array(F.struct(F.lit(fields[0]).alias("f"), F.col("a").alias("vs")), F.struct(F.lit(fields[1]).alias("f"), F.col("b").alias("vs")))).alias("s"))
     out = listed.select(F.col("k").alias(key), F.col("s.f").alias("field_name"), F.posexplode("s.vs").alias("p0", "item_value"))
     return out.where("item_value <> ''").select(key, "field_name", (F.col("p0") + 1).cast("int").alias("pos"), "item_value")
-
-
-def _posterior(open_values: DataFrame, table: DataFrame, smoothing: float) -> DataFrame:
-    """(k, path, p, places): the share of each path among those of its field pair."""
-    totals = table.groupBy("field").agg(F.sum("mass").alias("total"), F.count("*").alias("kinds"))
-    rates = table.join(F.broadcast(totals), "field").select(
-        "field", "value", F.log((F.col("mass") + smoothing) / (F.col("total") + smoothing * F.col("kinds"))).alias("rate")
-    )
-    floor = F.broadcast(totals.select("field", F.log(smoothing / (F.col("total") + smoothing * F.col("kinds"))).alias("floor")))
-    scored = (
-        lookup_join(open_values, rates, ["field", "value"], "left")
-        .join(floor, "field", "left")
-        .groupBy("k", "path")
-        .agg(F.sum(F.coalesce("rate", "floor", F.lit(-20.0))).alias("score"), F.count("*").alias("places"))
-    )
-    by_key = Window.partitionBy("k")
-    weight = F.exp(F.col("score") - F.max("score").over(by_key))
-    return scored.withColumn("w", weight).select("k", "path", (F.col("w") / F.sum("w").over(by_key)).alias("p"), "places")

@@ -65,3 +65,66 @@ def test_every_row_is_independent_of_layout(spark):
 @pytest.mark.parametrize("text, want", [("0.12345", "0.1234"), ("1e-1", "0.1000"), ("-0,5", "-0.5000"), ("NaN", "nan"), ("x", None), ("", "")])
 def test_numbers(text, want):
     assert packed.number_text(text) == want
+
+
+def test_places_of_the_parallel_field_decide_with_any_number_of_ways(spark):
+    """12 pieces for 6 places can be joined in 462 ways: the values of the column decide, and quoted pieces stay apart."""
+    words = "ab cd ef gh ij kl".split()
+    rows = [(i, f"{a}/{b}|{c}", "0.1|0.2") for i, (a, b, c) in enumerate((a, b, c) for a in words for b in words for c in words if a != b)]
+    rows += [(900, "/".join(f"{w}/x{w}" for w in words), "0.1|0.2|0.3|0.4|0.5|0.6")]
+    rows += [(i, f"'{w}/x{w}'", "0.5") for i, w in enumerate(words * 20, 1000)]
+    got = run(spark, rows)
+    assert [v for _, v in got[900, "a"]] == [f"{w}/x{w}" for w in words]
+    assert [v for _, v in got[0, "a"]] == ["ab/cd", "ab"]
+
+
+def test_decimal_commas_between_separating_commas(spark):
+    got = run(spark, [(1, "a|b|c", "0,85,0,62,nan"), (2, '"a, b",c,d', "0.1|0.2")])
+    assert [v for _, v in got[1, "c"]] == ["0.8500", "0.6200", "nan"]
+    assert [v for _, v in got[2, "a"]] == ["a, b", "c,d"]
+
+
+def brute(both, allowed, rates):
+    """Every path of a row with its weight."""
+    import math
+
+    def of(chains, f):
+        out = []
+        for chain in chains:
+            ways = [((), 0, 0.0)]
+            while ways:
+                way, at, w = ways.pop()
+                if at == chain.nodes:
+                    out.append((way, w))
+                ways.extend(((*way, v), b, w + rates[f](v)) for a, b, v in chain.edges if a == at)
+        return out or [((), 0.0)]
+
+    pairs = [((x, y), math.exp(u + w)) for x, u in of(both[0], 0) for y, w in of(both[1], 1) if allowed is None or (len(x) == len(y) and len(x) in allowed)]
+    return pairs
+
+
+def test_forward_backward_and_viterbi_against_all_paths():
+    import math
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("ab,;|/ '") for _ in range(rng.randrange(1, 10)))
+        b = "".join(rng.choice("01,;. ") for _ in range(rng.randrange(1, 8)))
+        *both, allowed = packed.row_lattices(a, b, (False, True), True)
+        table = {}
+        rates = tuple(lambda v, f=f: table.setdefault((f, v), -rng.random() * 5) for f in (0, 1))
+        pairs = brute(both, allowed, rates)
+        total = sum(w for _, w in pairs)
+        want = {}
+        for (x, y), w in pairs:
+            for f, way in enumerate((x, y)):
+                for v in way:
+                    want[f, v] = want.get((f, v), 0.0) + w / total
+        got = {}
+        for f, v, p in packed.expected(tuple(both), allowed, rates):
+            got[f, v] = got.get((f, v), 0.0) + p
+        assert all(math.isclose(got.get(k, 0.0), w, abs_tol=1e-6) for k, w in want.items())
+        best = packed.viterbi(tuple(both), allowed, rates)
+        weight = sum(rates[f](v) for f, way in enumerate(best) for v in way)
+        assert math.isclose(math.exp(weight), max(w for _, w in pairs), rel_tol=1e-9)
