@@ -126,10 +126,14 @@ def number_text(value: str) -> str | None:
 
 
 class Chain(NamedTuple):
-    """The readings of a field by one separator: `nodes` boundaries after the first, and edges (from, to, value)."""
+    """The readings of a field by one separator: `nodes` boundaries after the first, and edges (from, to, value).
+
+    ways: how many paths it has, by their number of places.
+    """
 
     nodes: int
     edges: tuple[tuple[int, int, str], ...]
+    ways: dict[int, int]
 
 
 @lru_cache(maxsize=50_000)
@@ -146,7 +150,7 @@ def lattice(field: str | None, numeric: bool, widest: int = 1) -> tuple[Chain, .
         bodies.append((inner, True))
     if not bodies or "]" in s[1:-1]:
         bodies.append((s, False))
-    found: dict[Chain, None] = {}
+    found: dict[tuple, Chain] = {}
     for body, bracketed in bodies:
         for sep in (None, *SEPARATORS, " "):
             if sep == " " and not (bracketed or numeric):
@@ -165,19 +169,17 @@ def lattice(field: str | None, numeric: bool, widest: int = 1) -> tuple[Chain, .
                         if got[a][1] or got[b - 1][1]:
                             break  # a quoted span is a value of its own
                         edges.append((a, b, _clean(sep.join(v for v, _ in got[a:b]), False, numeric)))
-            chain = Chain(len(got), tuple((a, b, v) for a, b, v in edges if v is not None))
-            if _ways(chain):
-                found[chain] = None
-    if not found:
-        found[Chain(1, ((0, 1, s),))] = None
-    return tuple(found)
+            known = tuple(e for e in edges if e[2] is not None)
+            if ways := _ways(len(got), known):
+                found.setdefault(known, Chain(len(got), known, ways))
+    return tuple(found.values()) or (Chain(1, ((0, 1, s),), {1: 1}),)
 
 
-@lru_cache(maxsize=50_000)
-def _ways(chain: Chain) -> dict[int, int]:
-    """How many paths a chain has, by their number of places."""
-    at: list[dict[int, int]] = [{0: 1}] + [{} for _ in range(chain.nodes)]
-    for a, b, _ in sorted(chain.edges):
+def _ways(nodes: int, edges: tuple[tuple[int, int, str], ...]) -> dict[int, int]:
+    if len(edges) <= nodes:  # pieces only: one path, if it is whole
+        return {nodes: 1} if len(edges) == nodes and all(e[1] == k + 1 for k, e in enumerate(edges)) else {}
+    at: list[dict[int, int]] = [{0: 1}] + [{} for _ in range(nodes)]
+    for a, b, _ in sorted(edges):
         for n, k in at[a].items():
             at[b][n + 1] = at[b].get(n + 1, 0) + k
     return at[-1]
@@ -187,7 +189,7 @@ def _places(chains: tuple[Chain, ...]) -> dict[int, int]:
     """How many paths a field's lattice has, by their number of places."""
     out: dict[int, int] = {}
     for chain in chains:
-        for n, k in _ways(chain).items():
+        for n, k in chain.ways.items():
             out[n] = out.get(n, 0) + k
     return out
 
@@ -284,6 +286,14 @@ def viterbi(fields: tuple[tuple[Chain, ...], ...], allowed: list[int] | None, ra
     return out
 
 
+def _single(chains: tuple[Chain, ...], allowed: list[int] | None) -> tuple[str, ...] | None:
+    """The values of a lattice's path where it is the only one of pieces; what Viterbi gives, without a search."""
+    if not chains:
+        return ()
+    own = [c for c in chains if allowed is None or any(n in c.ways for n in allowed)]
+    return tuple(v for _, _, v in own[0].edges) if len(own) == 1 and len(own[0].edges) == own[0].nodes else None
+
+
 def _one_path(fields: tuple[tuple[Chain, ...], ...], allowed: list[int] | None) -> bool:
     na, nb = map(_places, fields)
     if allowed is not None:
@@ -329,7 +339,9 @@ def split_packed(
             for a, b in zip(pdf["a"], pdf["b"]):
                 *both, allowed = row_lattices(text(a), text(b), numeric, parallel)
                 sure = _one_path(tuple(both), allowed)
-                left, right = viterbi(tuple(both), allowed, zero) if sure else ((), ())
+                left, right = (_single(c, allowed) for c in both) if sure else ((), ())
+                if left is None or right is None:
+                    left, right = viterbi(tuple(both), allowed, zero)
                 out["a"].append(list(left))
                 out["b"].append(list(right))
                 out["sure"].append(sure)
