@@ -41,6 +41,20 @@ def test_blocks_of_items_lose_nothing(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, 12).collect()} == brute(docs, items, 12)
 
 
+def test_hot_item_long_item_and_full_filter_lose_nothing(spark, monkeypatch):
+    """An item that stands in every text, an item taken in pieces, several tasks an automaton, and a filter that holds nothing back."""
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(300))
+    items = [(i, " ".join(str(rng.randrange(9)) for _ in range(15))) for i in range(12)] + [(50, long), (51, "a stock phrase of quite a few words that all texts hold twice")]
+    docs = [(d, f"{d} {items[-1][1]} {items[d % 12][1]} " + " ".join(long.split()[d * 9 : d * 9 + 30])) for d in range(30)]
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(leakage, "TASK_WORDS", 100)
+    want = brute(docs, items, 12)
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, 12).collect()} == want
+    monkeypatch.setattr(leakage, "FILTER_BITS", 1 << 10)
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, 12).collect()} == want
+
+
 def test_cleaned_text_has_no_leak_left(spark):
     items = [(1, "one two three four five six")]
     docs = [(1, "Before it. One two, three <b>four</b> five six! After that more words stand here."), (2, "one two three four five six"), (3, "nothing")]
