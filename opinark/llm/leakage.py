@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,11 +188,11 @@ def _run_filter(pieces: DataFrame, min_words: int, bits: int) -> np.ndarray:
 def _candidates(docs: DataFrame, doc_id: str, text: str, shared, min_words: int) -> DataFrame:
     """(d, seq, n, hits): the words of the texts that hold a run the filter knows, and the hashes of these runs."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = shared.value, _Hashes()
         bits = len(marks) * 8
-        for pdf in batches:
-            tokens = [words(TAG.sub(" ", t)) for t in pdf["t"]]
+        for batch in batches:
+            tokens = [words(TAG.sub(" ", t)) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in tokens], np.int64)
             # all texts of the batch at once; runs over the end of a text are passed over
             runs = run_hashes(np.array([seen[w] for x in tokens for w in x], np.uint64), min_words)
@@ -204,11 +205,13 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, shared, min_words: int)
             inside = hit + min_words <= ends[owner] if len(hit) else np.array([], bool)
             hit, owner = hit[inside], owner[inside]
             which, first = np.unique(owner, return_index=True)
-            parts = np.split(runs[hit].view(np.int64), first[1:]) if len(which) else []
-            yield pd.DataFrame({"d": pdf["d"].to_numpy()[which], "seq": [" ".join(tokens[k]) for k in which], "n": sizes[which].astype(np.int32), "hits": pd.Series([np.unique(x).tolist() for x in parts], dtype=object)})
+            offsets = pa.array(np.append(first, len(hit)), pa.int32())
+            rows = [batch.column(0).take(pa.array(which)), pa.array([" ".join(tokens[k]) for k in which], pa.string())]
+            rows += [pa.array(sizes[which], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(runs[hit].view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(rows, names=["d", "seq", "n", "hits"])
 
     source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    return source.mapInPandas(read, "d long, seq string, n int, hits array<long>")
+    return source.mapInArrow(read, "d long, seq string, n int, hits array<long>")
 
 
 def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 12) -> DataFrame:
