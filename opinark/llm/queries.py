@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opinark.llm import components, copies, cutoffs, leakage, overlap, packing, sentences, setjoin, spectral, variety
 from opinark.plans.registry import Registry
-from opinark.runtime import cut, item_key, name_key, strip, table
+from opinark.runtime import cut, item_key, name_key, scratch_path, strip, table
 
 llm = Registry()
 
@@ -19,11 +19,11 @@ def _ledger(spark, sf_dir):
     rows = table(spark, sf_dir, "reviews_cleaning2").select("row_id", "sentence_text")
     keyed = cut(copies.keyed_rows(rows, "row_id", "sentence_text"), "keyed")
     lo, hi = keyed.agg(F.min("row_id"), F.max("row_id")).first()
-    ledger = copies.Ledger(spark)
-    edges = [lo + (hi + 1 - lo) * i // LEDGER_BATCHES for i in range(LEDGER_BATCHES + 1)] if lo is not None else [0, 0]
-    for a, b in zip(edges, edges[1:]):
-        ledger.add_keyed(keyed.where((F.col("row_id") >= a) & (F.col("row_id") < b)))
-    return keyed, cut(ledger.records(), "records")
+    path = scratch_path(spark, "ledger")
+    edges = [lo + (hi + 1 - lo) * i // LEDGER_BATCHES for i in range(LEDGER_BATCHES + 1)] if lo is not None else []
+    for a, b in zip(edges, edges[1:]):  # each delivery opens the ledger that the one before left
+        copies.Ledger(spark, path).add_keyed(keyed.where((F.col("row_id") >= a) & (F.col("row_id") < b)))
+    return keyed, cut(copies.Ledger(spark, path).records(), "records")
 
 
 @llm.query("p1_found")
