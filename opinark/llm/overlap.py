@@ -219,20 +219,19 @@ def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Words of the longest common subsequence."""
+    """Words of the longest common subsequence: one row of the table at a time, as the bits of one number."""
     if not a or not b:
         return 0
-    row = [0] * (len(b) + 1)
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b):
-            keep = row[j + 1]
-            if x == y:
-                row[j + 1] = diagonal + 1
-            elif row[j] > keep:
-                row[j + 1] = row[j]
-            diagonal = keep
-    return row[-1]
+        if x in places:
+            hit = row & places[x]
+            row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
 
 
 def aligned_words(a: list[str], b: list[str], seeds: list[tuple[int, int]], k: int) -> int:

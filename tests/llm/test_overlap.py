@@ -85,3 +85,15 @@ def test_words_of_many_rows_lose_no_pair(spark, monkeypatch):
     texts = [" ".join(rng.choices(hot[: rng.randrange(1, 13)], k=rng.randrange(5, 16))) for _ in range(300)]
     rows = [(i, rng.choice(["train", "test"]), t) for i, t in enumerate(texts)]
     assert set(run(spark, rows)) == brute(rows)
+
+
+def test_common_words_against_the_table():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        assert overlap._common(a, b) == row[-1][-1]
+    assert overlap._common(["x"] * 20_000, ["x"] * 20_000) == 20_000
