@@ -67,6 +67,8 @@ def cutoffs(scored: DataFrame, bins: int = 256) -> DataFrame:
         new = cut(state.where("lo >= hi").unionByName(moved), "cutoff-state")
         discard(state)
         state = new
+    else:
+        raise RuntimeError("cutoffs did not settle")
     found = state.select("source_name", "n_scored", F.col("lo").alias("cutoff"))
     kept = lookup_join(data.select("source_name", "score_value"), found.select("source_name", "cutoff"), ["source_name"]).where("score_value >= cutoff")
     sizes = kept.groupBy("source_name").agg(F.count("*").alias("n_kept"))
