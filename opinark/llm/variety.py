@@ -33,7 +33,6 @@ from opinark.runtime import cut, lookup_join, name_key
 
 TOP_WORDS = 60_000
 MERGE_WAYS = 16
-MAX_ROUNDS = 60
 #: codes: a row's words, those beyond the frequent ones first, as negative hashes; rare: how many rows hold each of these.
 _CODED = "source string, row_id long, codes array<long>, rare array<long>"
 
@@ -213,11 +212,8 @@ def varied_subset(rows: DataFrame, targets: DataFrame, row_id: str, text: str, s
     thresholds = {r["source"]: r["n"] * float(weights.max() if len(weights) else 0.0) / 2 for r in top}
     seen = set(thresholds)
     left = {s: need[s] for s in need if s in seen and need[s] > 0}
-    for n_round in range(MAX_ROUNDS):
-        if not left:
-            break
-        last = n_round == MAX_ROUNDS - 1
-        state = {s: (0.0 if last else thresholds[s], left[s], [c for _, c, _, _ in chosen[s]]) for s in left}
+    while left:  # thresholds fall to zero in the end, and a round at zero ends a source
+        state = {s: (thresholds[s], left[s], [c for _, c, _, _ in chosen[s]]) for s in left}
         run = round_of(state)
         added = coded.mapInArrow(run, _CODED)
         for parts in (MERGE_WAYS, 1):
