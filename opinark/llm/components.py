@@ -77,7 +77,7 @@ def assign_splits(sizes: DataFrame, targets: list[tuple[str, float]], seed: int
     total = sizes.agg(F.sum("n")).first()[0] or 0
     lack = {name: p / total_w * total for name, p in targets}
     bound = max(1, math.ceil(total * large_share))
-    large = sizes.where(F.col("n") >= bound).orderBy(F.desc("n"), "root").limit(math.ceil(1 / large_share) + 1).collect() if total >= 1 / large_share else []
+    large = sizes.where(F.col("n") >= bound).orderBy(F.desc("n"), "root").limit(math.ceil(1 / large_share) + 1).collect()
     placed = []
     for r in large:
         best = max(lack, key=lambda s: (lack[s], s))
