@@ -7,7 +7,7 @@ different things to different engines. Null texts stay null unless a function sa
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 import pandas as pd
@@ -93,7 +93,10 @@ def expand_substrings(c: Column | str) -> Column:
 
 def expand_words(c: Column | str) -> Column:
     """Contractions expanded as whole words, by one lookup per token."""
-    x = F.lower(_c(c))
+    return _expand(F.lower(_c(c)))
+
+
+def _expand(x: Column) -> Column:
     table = F.create_map(*(F.lit(v) for kv in lexicons.WORD_CONTRACTIONS.items() for v in kv))
 
     def expand(w: Column) -> Column:
@@ -113,19 +116,33 @@ def expand_words(c: Column | str) -> Column:
 
 def normalize_sentence(c: Column | str) -> Column:
     """Lower case, straight apostrophes, contractions as words, a-z 0-9 ' only; null and 'nan' give ''."""
-    x = F.translate(F.coalesce(_c(c), F.lit("")), "’`´", "'''")
-    x = F.trim(F.lower(x))
-    return F.when(x == "nan", "").otherwise(collapse(F.regexp_replace(expand_words(x), r"[^a-z0-9\s']", " ")))
+    x = F.coalesce(_c(c), F.lit(""))
+    for mark in "’`´":
+        x = F.replace(x, F.lit(mark), F.lit("'"))  # far cheaper than a translation by character
+
+    def normal(x: Column) -> Column:
+        # one pass: what is not kept is white space, and its runs are one space
+        return F.when(x == "nan", "").otherwise(F.trim(F.regexp_replace(_expand(x), r"[^a-z0-9']+", " ")))
+
+    return let(F.trim(F.lower(x)), normal)
 
 
-def tag_lexicon(c: Column | str) -> Column:
-    """Words of the two lexicons replaced by their tags; apostrophes around a word do not count."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tag_lexicon(c: Column | str, collapsed: bool = False) -> Column:
+    """Words of the two lexicons replaced by their tags; apostrophes around a word do not count.
+
+    collapsed: the white space of c is single spaces already.
+    """
 
     def tag(w: Column) -> Column:
         bare = F.btrim(w, F.lit("'"))  # membership in a literal list is a hash lookup
         return F.when(bare.isin(*lexicons.GENERIC_NOUNS), lexicons.GENERIC_TAG).when(bare.isin(*lexicons.DOMAIN_NOISE), lexicons.NOISE_TAG).otherwise(w)
 
-    return F.array_join(F.transform(F.split(collapse(c), " "), tag), " ")
+    return F.array_join(F.transform(F.split(_c(c) if collapsed else collapse(c), " "), tag), " ")
 
 
 def tag_count(c: Column | str, tag: str) -> Column:

@@ -39,7 +39,10 @@ def merge_dedup_normalize(reviews: DataFrame, variant: str, order: Sequence[str]
     """Reviews with review_text: merged, not blank, one per duplicate, normalised, not blank again."""
     merge, normalize, keys = VARIANTS[variant]
     merged = reviews.withColumn("review_text", merge("title", "text")).where(not_blank("review_text"))
-    return first_of(merged, keys, order).withColumn("review_text", normalize("review_text")).where(not_blank("review_text"))
+    first = first_of(merged, keys, order)
+    # as a list of one text or none: a plain filter would be pushed down and normalise every text twice
+    kept = F.filter(F.array(normalize("review_text")), not_blank)
+    return first.select(*(c for c in first.columns if c != "review_text"), F.explode(kept).alias("review_text")).select(*first.columns)
 
 
 def split_marks(df: DataFrame, text: str, position: str = "sentence_id", into: str = "sentence_text") -> DataFrame:
@@ -63,7 +66,7 @@ def tag_sentences(df: DataFrame, text: str) -> DataFrame:
     """normalized_text, tagged_text and the hit counts of both lexicons, one pass."""
     return (
         df.withColumn("normalized", X.normalize_sentence(text))
-        .withColumn("tagged", X.tag_lexicon("normalized"))
+        .withColumn("tagged", X.tag_lexicon("normalized", collapsed=True))
         .withColumn("generic_hits", X.tag_count("tagged", lexicons.GENERIC_TAG))
         .withColumn("noise_hits", X.tag_count("tagged", lexicons.NOISE_TAG))
     )

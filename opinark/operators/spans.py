@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinark.functions import text as X
+from opinark.functions.text import let
 
 B, I, O = "B-ASP", "I-ASP", "O"  # noqa: E741
 
@@ -14,26 +15,21 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: an expression inside a lambda would be evaluated for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def index_spans(labels: Column | str) -> Column:
     """array<struct<start,end>> of label runs: B begins, I goes on, an I without B is no span."""
     return let(_c(labels), _index_spans)
 
 
 def _index_spans(ls: Column) -> Column:
+    """A span goes from a B to the place before the next label other than I."""
     n = F.size(ls)
-    places = F.filter(F.transform(ls, lambda x, i: F.when(x == B, i)), lambda i: i.isNotNull())
+    others = F.filter(F.transform(ls, lambda x, i: F.when(x != I, i)), lambda i: i.isNotNull())
 
-    def span(i: Column) -> Column:
-        rest = F.slice(ls, i + 2, F.greatest(n - i - 1, F.lit(0)))
-        stop = F.array_position(F.transform(rest, lambda x: x != I), F.lit(True)).cast("int")
-        return F.struct(i.cast("int").alias("start"), (i + F.when(stop > 0, stop - 1).otherwise(F.size(rest))).cast("int").alias("end"))
+    def between(places: Column) -> Column:
+        spans = F.transform(places, lambda p, j: F.struct(p.cast("int").alias("start"), (F.get(places, j + 1) - 1).cast("int").alias("end")))
+        return F.filter(spans, lambda s: F.get(ls, s["start"]) == B)
 
-    return F.when(n > 0, F.transform(places, span)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(n > 0, let(F.concat(others, F.array(n)), between)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def decode_spans(tokens: Column | str, labels: Column | str, confidences: Column | str) -> Column:
