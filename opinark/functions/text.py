@@ -159,6 +159,26 @@ def unicode_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(rf"{WORD}+(?:'{WORD}+)?"), F.lit(0))
 
 
+def token_offsets(c: Column | str) -> Column:
+    """array<struct<token,start,stop>>: the words of unicode_tokens and the characters they stand at, from 0, stop exclusive."""
+    pattern = rf"{WORD}+(?:'{WORD}+)?"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,stop:int>>").alias("found"))
+
+    def add(state: Column, piece: Column) -> Column:
+        # pieces are the words and what stands between them, in order
+        stop = state["at"] + F.length(piece)
+        word = F.struct(piece.alias("token"), state["at"].alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.when(F.regexp_like(piece, F.lit(f"^{WORD}")), F.concat(state["found"], F.array(word))).otherwise(state["found"]).alias("found"))
+
+    pieces = F.regexp_extract_all(_c(c), F.lit(rf"(?s){pattern}|(?:(?!{WORD}).)+"), F.lit(0))
+    return F.aggregate(pieces, start, add, lambda s: s["found"])
+
+
+def fill_tags(c: Column | str, generic: str = "thing", noise: str = "shipping") -> Column:
+    """The tags of both lexicons as plain words."""
+    return F.replace(F.replace(_c(c), F.lit(lexicons.GENERIC_TAG), F.lit(generic)), F.lit(lexicons.NOISE_TAG), F.lit(noise))
+
+
 def word_count(c: Column | str) -> Column:
     """Parts between white space runs; '' has one."""
     return F.size(F.split(_c(c), r"\s+"))

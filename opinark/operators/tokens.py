@@ -44,8 +44,13 @@ def _lemma(t: Column) -> Column:
     return F.lower(t["lemma"])
 
 
+#: Relations in which a noun or pronoun heads a noun phrase.
+CHUNK_HEADS = ("nsubj", "nsubjpass", "dobj", "obj", "pobj", "pcomp", "dative", "attr", "oprd", "appos", "ROOT")
+
+
 def has_noun(ts: Column) -> Column:
-    return _any(ts, _noun)
+    """There is a noun, or a pronoun that is a noun phrase by itself."""
+    return _any(ts, lambda t: _noun(t) | ((t["pos"] == "PRON") & t["dep"].isin(*CHUNK_HEADS)))
 
 
 def is_adjective_only(ts: Column) -> Column:
@@ -70,10 +75,11 @@ def key(t: Column) -> Column:
     return F.coalesce(F.nullif(F.nullif(F.trim(_lemma(t)), F.lit("")), F.lit("-pron-")), F.lower(F.trim(t["text"])))
 
 
-def all_targets_generic(ts: Column) -> Column:
-    """There are noun targets, and all are generic or noise by lemma."""
+def all_targets_generic(ts: Column, none_counts: bool = False) -> Column:
+    """There are noun targets, and all are generic or noise by lemma; none_counts: also where there is no target."""
     nouns = F.filter(ts, lambda t: t["dep"].isin(*_TARGET, "conj") & _noun(t))
-    return (F.size(nouns) > 0) & F.forall(nouns, lambda t: key(t).isin(*lexicons.GENERIC_NOUNS, *lexicons.DOMAIN_NOISE))
+    every = F.forall(nouns, lambda t: key(t).isin(*lexicons.GENERIC_NOUNS, *lexicons.DOMAIN_NOISE))
+    return every if none_counts else (F.size(nouns) > 0) & every
 
 
 def _opinion_predicate(ts: Column, t: Column) -> Column:

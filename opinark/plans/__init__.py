@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("packed", "cleaning", "profiling", "labelling", "more")
+MODULES = ("packed", "cleaning", "profiling", "labelling", "more", "files", "rules")
 
 
 def load():

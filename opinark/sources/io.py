@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +35,16 @@ def read_labels_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.S
     return (reader.schema(schema) if schema else reader).csv(paths)
 
 
-def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Those of the paths that exist, in order."""
+def existing(spark: SparkSession, paths: Sequence[str], warn: bool = False) -> list[str]:
+    """Those of the paths that exist, in order; with warn the others are named in a warning."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         if at.getFileSystem(conf).exists(at):
             out.append(p)
+    if warn and len(out) < len(paths):
+        warnings.warn(f"missing: {', '.join(p for p in paths if p not in out)}", stacklevel=2)
     return out
 
 
@@ -90,6 +93,11 @@ def write_parquet(df: DataFrame, path: str, key: str | None = None, partitions:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def append_parquet(df: DataFrame, path: str) -> None:
+    """Add a batch; its columns must be those of the table, as the first batch gave them."""
+    df.write.mode("append").parquet(path)
+
+
 def write_conformed(df: DataFrame, path: str, schema: T.StructType, **options) -> None:
     """By the schema: absent columns null, others left out. Spark's commit makes the table appear whole or not at all."""
     write_parquet(schemas.conform(df, schema), path, **options)
@@ -146,6 +154,17 @@ def report_lines(stats: DataFrame, title: str) -> DataFrame:
     return stats.sparkSession.createDataFrame([(title,)], "line string").unionByName(pairs)
 
 
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def surrogate_ids(df: DataFrame, into: str = "sid") -> DataFrame:
+    """Unique numbers from 1, ascending with gaps. They follow the layout; for lasting ids hash a key."""
+    return df.withColumn(into, F.monotonically_increasing_id() + 1)
+
+
 def human_size(n: float) -> str:
     for unit in ("B", "KB", "MB", "GB"):
         if n < 1024:

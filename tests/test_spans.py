@@ -96,7 +96,7 @@ def test_token_patterns(spark):
     df = spark.createDataFrame([(SENTENCE, "great screen is not bad"), ([(0, "it", "it", "PRP", "PRON", "nsubj", 1), (1, "works", "work", "VBZ", "VERB", "ROOT", 1)], "it works"), ([], "")], f"tokens {tokens.TOKENS}, norm string")
     rows = tokens.audit(df, "tokens", "norm").collect()
     assert rows[0].matched_patterns == ["amod(adj,noun)", "nsubj(noun,opinion_predicate)", "copula_adj_noun_subject", "neg(negation,opinion_word)"]
-    assert [r.primary_reason for r in rows] == ["kept", "no_noun_or_noun_phrase", "too_short"]
+    assert [r.primary_reason for r in rows] == ["kept", "pronoun_target_only", "too_short"]  # a pronoun is a noun phrase
     assert rows[1].flag_pronoun_target_only and not rows[0].flag_pronoun_target_only
 
 
