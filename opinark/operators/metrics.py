@@ -100,6 +100,19 @@ def best_row(df: DataFrame, metric: str, order: str) -> DataFrame:
     return df.orderBy(F.desc(metric), order).limit(1)
 
 
+def span_sweep(df: DataFrame, gold: str, spans: str, thresholds: Sequence[float]) -> DataFrame:
+    """set_scores of the gold aspects against the spans' aspects of at least each threshold's confidence; one pass over df."""
+    each = df.select(F.col(gold).alias("_g"), F.col(spans).alias("_s"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    empty = F.array().cast("array<string>")
+    g = F.array_distinct(F.coalesce("_g", empty))
+    p = F.array_distinct(F.transform(F.filter(F.col("_s"), lambda s: s["confidence"] >= F.col("threshold")), lambda s: s["aspect"]))
+    hit = F.size(F.array_intersect(g, F.coalesce(p, empty)))
+    counted = each.select("threshold", hit.alias("tp"), (F.size(F.coalesce(p, empty)) - hit).alias("fp"), (F.size(g) - hit).alias("fn"))
+    sums = counted.groupBy("threshold").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")), ratio(F.count_if((F.col("fp") == 0) & (F.col("fn") == 0)), F.count("*")).alias("exact_match"))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return sums.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "jaccard": ratio(tp, tp + fp + fn)})
+
+
 def span_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Micro scores over index spans, arrays of (start, end) per row."""
     as_text = lambda c: F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))

@@ -52,6 +52,12 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, shares: Seq
     return placed.withColumn(into, label).drop("_h", "_range", "_before", "_total")
 
 
+def split_or_plain(df: DataFrame, strata: Sequence[str], key: str, shares: Sequence[tuple[str, float]], seed: int = 42, into: str = "split") -> DataFrame:
+    """stratified_split, or the same split without strata where one of them has fewer than two rows."""
+    small = df.groupBy(*strata).agg(F.count("*").alias("_n")).where("_n < 2").limit(1).count()
+    return stratified_split(df, [] if small else strata, key, shares, seed, into)
+
+
 def _upper(shares: Sequence[tuple[str, float]]):
     at = 0.0
     for name, share in shares:

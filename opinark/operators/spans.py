@@ -145,3 +145,61 @@ def zip_pairs(aspects: Column | str, opinions: Column | str) -> Column:
     a, o = _c(aspects), _c(opinions)
     n = F.least(F.size(a), F.size(o))
     return F.arrays_zip(F.slice(a, F.lit(1), n).alias("aspect"), F.slice(o, F.lit(1), n).alias("opinion"))
+
+
+def label_by_characters(sentence: Column | str, aspects: Column | str) -> Column:
+    """array<struct<token,label>>: the first place of each aspect's characters, case apart; later aspects win.
+
+    White space is collapsed first. Tokens that lie whole inside the aspect's characters are labelled. Where the
+    aspect does not stand, its first word is looked for instead, and as many characters are taken from there.
+    """
+    text = X.clean_text(sentence)
+
+    def place(low: Column, aspect: Column) -> Column:
+        head = F.get(X.unicode_tokens(aspect), F.lit(0))
+        at = F.instr(low, aspect)
+        found = F.when(at > 0, at).otherwise(F.coalesce(F.instr(low, head), F.lit(0)))
+        return F.when((aspect != "") & (found > 0), F.struct((found - 1).alias("a"), (found - 1 + F.length(aspect)).alias("b")))
+
+    def label(ts: Column, places: Column) -> Column:
+        def of(t: Column, i: Column) -> Column:
+            over = F.filter(places, lambda p: (t["start"] >= p["a"]) & (t["stop"] <= p["b"]))
+            last = F.get(over, F.size(over) - 1)  # the last aspect over this token
+            first = (i == 0) | (F.get(ts, i - 1)["start"] < last["a"])
+            return F.struct(t["token"].alias("token"), F.when(last.isNull(), O).when(first, B).otherwise(I).alias("label"))
+
+        return F.transform(ts, of)
+
+    def both(s: Column) -> Column:
+        listed = F.transform(F.coalesce(_c(aspects), F.array().cast("array<string>")), lambda a: F.lower(X.clean_text(a)))
+        places = let(F.lower(s), lambda low: F.filter(F.transform(listed, lambda a: place(low, a)), lambda p: p.isNotNull()))
+        return let(X.token_offsets(s), lambda ts: let(places, lambda ps: label(ts, ps)))
+
+    return let(text, both)
+
+
+def label_with_opinions(sentence: Column | str, triplets: Column | str) -> Column:
+    """array<string>, one label per white-space token: B-ASP and I-ASP at every place of an aspect, B-OPI-POS and the like at every
+    place of an opinion. Of several labels the last written stays: by triplet, the aspect before the opinion, then by place."""
+    tokens = F.filter(F.split(X.clean_text(sentence), " "), lambda t: t != "")
+    empty = F.array().cast("array<struct<aspect:string,opinion:string,sentiment:int>>")
+
+    def phrases(t: Column) -> Column:
+        polarity = F.when(t["sentiment"] == 2, "POS").when(t["sentiment"] == 0, "NEG").otherwise("NEU")
+        split = lambda c: F.filter(F.split(X.clean_text(c), " "), lambda w: w != "")
+        return F.array(F.struct(split(t["aspect"]).alias("words"), F.lit("ASP").alias("tag")), F.struct(split(t["opinion"]).alias("words"), F.concat(F.lit("OPI-"), polarity).alias("tag")))
+
+    listed = F.flatten(F.transform(F.coalesce(_c(triplets), empty), phrases))
+
+    def hits(ts: Column) -> Column:
+        of = lambda p, k: F.transform(_starts(ts, p["words"]), lambda s: F.struct(k.alias("k"), s.alias("s"), F.size(p["words"]).alias("n"), p["tag"].alias("tag")))
+        return F.flatten(F.transform(listed, of))
+
+    def label(ts: Column, found: Column) -> Column:
+        def of(t: Column, i: Column) -> Column:
+            over = F.array_max(F.filter(found, lambda h: (h["s"] <= i) & (i < h["s"] + h["n"])))
+            return let(over, lambda h: F.when(h.isNull(), O).otherwise(F.concat(F.when(h["s"] == i, "B-").otherwise("I-"), h["tag"])))
+
+        return F.transform(ts, of)
+
+    return let(tokens, lambda ts: let(hits(ts), lambda h: label(ts, h)))

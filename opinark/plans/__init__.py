@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("packed", "cleaning", "profiling", "labelling", "more", "files", "rules")
+MODULES = ("packed", "cleaning", "profiling", "labelling", "more", "files", "rules", "models")
 
 
 def load():

@@ -147,13 +147,13 @@ def _stage1_sql(merge: str, norm: str, keys: str) -> str:
     return f"""WITH m AS (SELECT *, {merge} AS review_text FROM reviews),
     d AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ingested_at, review_ms, review_id, asin, helpful_vote, coalesce(user_id, '')) AS rn FROM m WHERE review_text IS NOT NULL AND trim(review_text) <> ''),
     n AS (SELECT review_id, {norm.format('review_text')} AS review_text FROM d WHERE rn = 1)
-    SELECT count(*) AS n_reviews, CAST(sum(length(review_text)) AS BIGINT) AS n_chars FROM n WHERE trim(review_text) <> ''"""
+    SELECT review_id, review_text FROM n WHERE trim(review_text, ' ') <> ''"""
 
 
 def _stage1(variant):
     def run(spark, sf_dir):
         kept = clean.merge_dedup_normalize(_reviews(spark, sf_dir), variant, ["ingested_at", "review_ms", "review_id", "asin", "helpful_vote", F.coalesce("user_id", F.lit(""))])
-        return kept.agg(F.count("*").alias("n_reviews"), F.sum(F.length("review_text")).alias("n_chars"))
+        return kept.select("review_id", "review_text")
 
     return run
 
@@ -177,7 +177,11 @@ def j0a_split_sentences(spark, sf_dir):
     return _sentences(spark, sf_dir)
 
 
-@core.query("j0b_split_lookbehind")
+@core.query(
+    "j0b_split_lookbehind",
+    """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS sentence_id, unnest(parts) AS sentence_text FROM s""",
+)
 def j0b_split_lookbehind(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     return clean.split_lookbehind(docs, "text").select("doc_id", "sentence_id", "sentence_text")

@@ -115,7 +115,7 @@ def _labelled(spark, sf_dir):
 
 
 _TOK = """tok AS (SELECT row_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT row_id, regexp_extract_all(sentence_text, '[\\p{L}\\p{N}_]+(?:''[\\p{L}\\p{N}_]+)?') AS t FROM ate_all)),
-lab AS (SELECT *, CASE WHEN md5(token)[1] IN ('0', '1', '2', '3') THEN 'B-ASP' WHEN md5(token)[1] IN ('4', '5', '6', '7', '8') THEN 'I-ASP' ELSE 'O' END AS label, (ascii(md5(token)[2]) % 10) / 10.0 AS conf FROM tok)"""
+lab AS (SELECT *, CASE WHEN md5(token)[1] IN ('0', '1', '2', '3') THEN 'B-ASP' WHEN md5(token)[1] IN ('4', '5', '6', '7', '8') THEN 'I-ASP' ELSE 'O' END AS label, (ascii(md5(token)[2]) % 9) / 8.0 AS conf FROM tok)"""
 
 
 def _md5_labels(spark, sf_dir):
@@ -125,7 +125,7 @@ def _md5_labels(spark, sf_dir):
     return rows.select(
         "row_id", "tokens",
         F.transform("tokens", lambda t: F.when(first(t).isin("0", "1", "2", "3"), "B-ASP").when(first(t).isin("4", "5", "6", "7", "8"), "I-ASP").otherwise("O")).alias("labels"),
-        F.transform("tokens", lambda t: (F.ascii(F.substring(F.md5(t), 2, 1)) % 10) / 10.0).alias("confs"),
+        F.transform("tokens", lambda t: (F.ascii(F.substring(F.md5(t), 2, 1)) % 9) / 8.0).alias("confs"),
     )
 
 
@@ -140,13 +140,31 @@ def g8_decode_spans(spark, sf_dir):
     return found.select("row_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.aspect").alias("aspect"), F.round("s.confidence", 6).alias("confidence"))
 
 
-@core.query("g7_best_spans")
+_BEST = f"""{_TOK}, g AS (SELECT *, sum(CASE WHEN label <> 'I-ASP' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS grp FROM lab),
+s AS (SELECT row_id, grp, min(pos) AS start, arg_min(label, pos) AS head, string_agg(token, ' ' ORDER BY pos) AS aspect, avg(conf) AS conf FROM g GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY row_id, aspect ORDER BY conf DESC, start) AS rn FROM s WHERE head = 'B-ASP')"""
+
+
+@core.query("g7_best_spans", f"WITH {_BEST} SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY conf DESC, aspect, start) - 1 AS INTEGER) AS place, aspect, round(conf, 6) AS confidence FROM best WHERE rn = 1")
 def g7_best_spans(spark, sf_dir):
     found = _md5_labels(spark, sf_dir).select("row_id", F.posexplode(spans.best_spans(spans.decode_spans("tokens", "labels", "confs"))).alias("place", "s"))
     return found.select("row_id", "place", F.col("s.aspect").alias("aspect"), F.round("s.confidence", 6).alias("confidence"))
 
 
-@core.query("m10_label_tokens")
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LABEL_SQL = f"""n AS (SELECT row_id, aspects, confidences, list_transform(regexp_extract_all(sentence_text, '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?'), lambda t: {_NORMAL.format('t')}) AS ns FROM ate_all),
+gold AS (SELECT row_id, len(known) > 0 AND len(list_filter(known, lambda c: c < 0.999)) = 0 AS gold FROM (SELECT row_id, list_filter(coalesce(confidences, []), lambda c: c IS NOT NULL AND NOT isnan(c)) AS known FROM ate_all)),
+k AS (SELECT row_id, ns, unnest(range(len(coalesce(aspects, [])))) AS k, aspects, confidences FROM n),
+a AS (SELECT row_id, ns, k, regexp_extract_all({_NORMAL.format('aspects[k + 1]')}, '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?') AS words, confidences[k + 1] AS conf FROM k),
+placed AS (SELECT row_id, k, words, conf, ns, unnest(range(len(ns))) AS s FROM a),
+h AS (SELECT row_id, k, s, len(words) AS n, conf FROM placed WHERE len(words) > 0 AND ns[s + 1:s + len(words)] = words),
+pos AS (SELECT row_id, unnest(range(len(ns))) AS pos FROM n),
+over_token AS (SELECT p.row_id, p.pos, arg_max(h.s, h.k * 100000 + h.s) AS s, arg_max(coalesce(h.conf, 'nan'::DOUBLE), h.k * 100000 + h.s) AS conf FROM pos p LEFT JOIN h ON h.row_id = p.row_id AND h.s <= p.pos AND p.pos < h.s + h.n GROUP BY 1, 2),
+labelled AS (SELECT row_id, pos, CASE WHEN s IS NULL THEN 'O' WHEN s = pos THEN 'B-ASP' ELSE 'I-ASP' END AS label,
+  CASE WHEN gold THEN 1.0 WHEN s IS NULL THEN 0.15 WHEN isnan(conf) THEN 0.6 ELSE 0.6 + (least(greatest(conf, 0.85), 1.0) - 0.85) / 0.15 * 0.3 END AS weight FROM over_token JOIN gold USING (row_id))"""
+
+
+@core.query("m10_label_tokens", f"WITH {_LABEL_SQL} SELECT row_id, CAST(pos AS INTEGER) AS pos, label, round(CAST(weight AS DOUBLE), 6) AS weight FROM labelled")
 def m10_label_tokens(spark, sf_dir):
     each = _labelled(spark, sf_dir).select("row_id", F.posexplode("ls").alias("pos", "l"))
     return each.select("row_id", "pos", F.col("l.label").alias("label"), F.round("l.weight", 6).alias("weight"))
@@ -170,7 +188,12 @@ def f43_match_rate(spark, sf_dir):
     return rows.agg(F.sum(F.coalesce("n", F.lit(0))).cast("bigint").alias("n_aspects"), F.sum("missing").cast("bigint").alias("n_unmatched"))
 
 
-@core.query("c44_token_features")
+@core.query(
+    "c44_token_features",
+    """WITH tok AS (SELECT row_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT row_id, regexp_extract_all(sentence_text, '[\\p{L}\\p{N}_]+(?:''[\\p{L}\\p{N}_]+)?') AS t FROM ate_all))
+    SELECT row_id, CAST(pos AS INTEGER) AS pos, token, lower(token) AS lower, lower(coalesce(lag(token) OVER w, '<BOS>')) AS prev, lower(coalesce(lead(token) OVER w, '<EOS>')) AS next, lower(left(token, 3)) AS prefix3, lower(right(token, 3)) AS suffix3,
+    token = upper(left(token, 1)) || lower(substr(token, 2)) AS is_title, regexp_matches(token, '^[0-9]+$') AS is_digit, CAST(least(pos // 5, 10) AS INTEGER) AS position_bin FROM tok WINDOW w AS (PARTITION BY row_id ORDER BY pos)""",
+)
 def c44_token_features(spark, sf_dir):
     return baselines.token_features(table(spark, sf_dir, "ate_all").select("row_id", X.unicode_tokens("sentence_text").alias("tokens")), "row_id", "tokens")
 
@@ -193,11 +216,11 @@ def d7_ate_buckets(spark, sf_dir):
     return _gated(spark, sf_dir).select("row_id", "bucket")
 
 
-@core.query("d6_span_filter", f"SELECT row_id, CAST(CASE WHEN {_G} >= 0.90 THEN len(list_filter(confidences, lambda c: c >= 0.85 AND NOT isnan(c))) ELSE 0 END AS INTEGER) AS n_kept FROM ate_all WHERE aspects IS NOT NULL AND confidences IS NOT NULL AND gate_confidence IS NOT NULL")
+@core.query("d6_span_filter", f"SELECT row_id, CASE WHEN {_G} >= 0.90 THEN list_filter(confidences, lambda c: c >= 0.85 AND NOT isnan(c)) ELSE [] END AS kept FROM ate_all WHERE aspects IS NOT NULL AND confidences IS NOT NULL AND gate_confidence IS NOT NULL")
 def d6_span_filter(spark, sf_dir):
     rows = _gated(spark, sf_dir).where("aspects is not null and confidences is not null and gate_confidence is not null")
     zipped = F.filter(F.transform("confidences", lambda c: F.struct(c.alias("confidence"))), lambda s: ~F.isnan(s["confidence"]))
-    return rows.select("row_id", F.size(pseudo.kept_spans(zipped, F.coalesce("gate", F.lit(0.0)))).alias("n_kept"))
+    return rows.select("row_id", F.transform(pseudo.kept_spans(zipped, F.coalesce("gate", F.lit(0.0))), lambda s: s["confidence"]).alias("kept"))
 
 
 @core.query("f25_ate_report", f"WITH b AS (SELECT {_CAT} AS category, {_N} AS n, {_HIGH} AS high FROM ate_all) SELECT category, count(*) AS n_rows, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE high AND n > 0) AS n_with_aspect, CAST(coalesce(sum(n) FILTER (WHERE high), 0) AS BIGINT) AS n_aspects, round(coalesce(n_high / n_rows, 0), 6) AS high_rate, round(coalesce(n_aspects / nullif(n_high, 0), 0), 6) AS aspects_per_high, round(coalesce(n_aspects / nullif(n_with_aspect, 0), 0), 6) AS aspects_per_positive FROM b GROUP BY 1")
@@ -368,10 +391,15 @@ def _ratings(spark, sf_dir):
     return rows.select(X.tokens(F.lower("text")).alias("words"), F.when(F.col("rating") >= 4, 1.0).otherwise(0.0).alias("y"))
 
 
+#: A fifth of the texts, by hash, is only scored; equal texts are on one side.
+_HELD, _TRAIN = "pmod(xxhash64(words), 5) = 0", "pmod(xxhash64(words), 5) <> 0"
+
+
 @core.query("m13_tfidf_classifier")
 def m13_tfidf_classifier(spark, sf_dir):
     data = cut(_ratings(spark, sf_dir), "ratings")
-    model = baselines.tfidf_classifier(data, "words", "y")
+    model = baselines.tfidf_classifier(data.where(_TRAIN), "words", "y")
+    data = data.where(_HELD)
     grams = F.concat("words", F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda i: i >= 0), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
     return model.transform(data.withColumn("_grams", grams)).groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
@@ -379,7 +407,7 @@ def m13_tfidf_classifier(spark, sf_dir):
 @core.query("m14_hashing_classifier")
 def m14_hashing_classifier(spark, sf_dir):
     data = cut(_ratings(spark, sf_dir), "ratings")
-    return baselines.hashing_classifier(data, "words", "y").transform(data).groupBy("y", "prediction").agg(F.count("*").alias("n"))
+    return baselines.hashing_classifier(data.where(_TRAIN), "words", "y").transform(data.where(_HELD)).groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 
 @core.query("f14_rating_profile", "SELECT CAST(floor(rating) AS INTEGER) AS bucket, count(*) AS n FROM seed_42 WHERE rating IS NOT NULL GROUP BY 1")

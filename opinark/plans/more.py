@@ -158,12 +158,12 @@ def j0e_explode_outer(spark, sf_dir):
     return table(spark, sf_dir, "ate_all").select("row_id", F.explode_outer("aspects").alias("aspect"))
 
 
-@core.query("m5_parse_responses", "WITH " + _TRIPLET_SQL + " SELECT row_id, CAST(len(triplets) AS INTEGER) AS n FROM triplets")
+@core.query("m5_parse_responses", "WITH " + _TRIPLET_SQL + ", e AS (SELECT row_id, unnest(triplets) AS t FROM triplets) SELECT row_id, t.aspect, t.opinion, t.sentiment FROM e")
 def m5_parse_responses(spark, sf_dir):
     """Answers as models write them: fenced, with talk around, or bare."""
     body = F.to_json("triplets")
     text = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("row_id") % 3 == 1, F.concat(F.lit("Here you are: "), body, F.lit(" Anything else?"))).otherwise(body)
-    return _triplets(spark, sf_dir).select("row_id", F.size(triplets.parse_response(text)).alias("n"))
+    return _triplets(spark, sf_dir).select("row_id", F.explode(triplets.parse_response(text)).alias("t")).select("row_id", "t.aspect", "t.opinion", "t.sentiment")
 
 
 @core.query("m1_text_vectors")
@@ -189,7 +189,9 @@ def m15_token_tagger(spark, sf_dir):
     rows = table(spark, sf_dir, "ate_all").where(F.size("aspects") > 0).select("row_id", X.unicode_tokens("sentence_text").alias("tokens"), "aspects")
     labels = rows.select("row_id", F.posexplode(spans.label_tokens("tokens", "aspects")).alias("pos", "l")).select("row_id", "pos", F.col("l.label").alias("label"))
     data = cut(baselines.token_features(rows, "row_id", "tokens").join(labels, ["row_id", "pos"]), "token-features")
-    model = baselines.token_tagger(data, "label", 1 << 12)
+    held = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0  # a fifth of the sentences is only scored
+    model = baselines.token_tagger(data.where(~held), "label", 1 << 12)
+    data = data.where(held)
     names = ["lower", "prev", "next", "prefix3", "suffix3", "is_title", "is_digit", "position_bin"]
     return model.transform(data.select("*", *(F.col(c).cast("string").alias(f"_{c}") for c in names))).groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
