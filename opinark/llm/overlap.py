@@ -12,7 +12,7 @@ words of the set join), or by two, three ... of them where many sequences hold a
 sets of the likeness share such a word.
 
 Selected hashes are joined across splits on distinct word sequences, to which copies rejoin at the
-end. With each hash goes a 64-bit sketch of the record's word set and its size: pairs whose sketches
+end. With each hash go two 64-bit sketches of the record's word set and its size: pairs whose sketches
 differ in more bits than the likeness allows words are dropped inside the join, so that almost only
 true pairs leave it. The likeness of the word sets then decides exactly; for pairs that have it the seeds are
 chained collinearly, extended by alignment (longest common subsequence of words between them), and
@@ -24,7 +24,7 @@ no pair; repeated rows each give their pairs; an empty side gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinark.llm.leakage import run_hashes
 from opinark.llm.setjoin import Coder, Likeness, _row_order, frequent_words, group_rows, word_sets
 from opinark.llm.text import words
 from opinark.runtime import cut
@@ -42,36 +43,6 @@ WINDOW = 3
 #: Sequences that would meet by a word of more sequences meet by several words.
 GROUP_ROWS = 500
 TOP_HASHES = 60_000
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-
-
-def rolling_hashes(tokens: list[int], k: int) -> np.ndarray:
-    """Polynomial hashes of all runs of k word hashes, each from the one before it."""
-    n = len(tokens) - k + 1
-    if n <= 0:
-        return np.array([], np.int64)
-    top = pow(_BASE, k - 1, 1 << 64)
-    h = 0
-    for t in tokens[:k]:
-        h = (h * _BASE + t) & _MASK
-    out = [h]
-    for i in range(1, n):
-        h = ((h - tokens[i - 1] * top) * _BASE + tokens[i + k - 1]) & _MASK
-        out.append(h)
-    mixed = np.array(out, np.uint64)
-    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
-
-
-def winnow(hashes: np.ndarray, order: np.ndarray, window: int) -> list[int]:
-    """Places of the least hash, by order and then by hash, of every window; at least one place if any."""
-    n = len(hashes)
-    picked: list[int] = []
-    for start in range(max(1, n - window + 1) if n else 0):
-        stop = min(start + window, n)
-        best = min(range(start, stop), key=lambda i: (order[i], hashes[i], -i))
-        if not picked or picked[-1] != best:
-            picked.append(best)
-    return picked
 
 
 class _Words(dict):
@@ -82,10 +53,57 @@ class _Words(dict):
         return v
 
 
-def _hashes_of(batches: Iterator[pd.DataFrame], column: str, k: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    seen = _Words()
-    for pdf in batches:
-        yield pdf, [rolling_hashes([seen[w] for w in s.split(" ")], k) for s in pdf[column]]
+class _Batch:
+    """The words of a batch's sequences one after the other, as hashes; places are those of the whole row of words."""
+
+    def __init__(self, seqs: Sequence[str], seen: _Words, k: int) -> None:
+        tokens = [s.split(" ") for s in seqs]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = np.array([seen[w] for t in tokens for w in t], np.uint64)
+        hashes = run_hashes(self.words, k).view(np.int64)
+        self.runs = np.maximum(self.sizes - k + 1, 0)  # of each sequence
+        self.owner = np.repeat(np.arange(len(tokens)), self.runs)
+        first = np.cumsum(self.runs) - self.runs
+        self.place = np.arange(len(self.owner)) - first[self.owner]
+        self.hashes = hashes[self.starts[self.owner] + self.place] if len(self.owner) else np.array([], np.int64)
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of different words of each sequence, and two 64-bit sketches of the set."""
+        seq = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((self.words, seq))
+        w, q = self.words[order], seq[order]
+        new = np.append(True, (w[1:] != w[:-1]) | (q[1:] != q[:-1])) if len(w) else np.array([], bool)
+        return np.bincount(q[new], minlength=len(self.sizes)), *(np.bitwise_or.reduceat(x, self.starts).view(np.int64) for x in word_bits(self.words))
+
+
+def word_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of 64 bits for each word hash, in each of two sketches."""
+    one = np.uint64(1)
+    return one << (hashes & np.uint64(63)), one << (hashes >> np.uint64(17) & np.uint64(63))
+
+
+def winnow(owner: np.ndarray, place: np.ndarray, runs: np.ndarray, hashes: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
+    """Which runs are selected: in every window of a sequence the least by order, then by hash, the last of equal ones.
+
+    owner, place, hashes, order: of each run, sequence by sequence; runs: how many each sequence has. A sequence with
+    fewer runs than a window is one window.
+    """
+    if not len(hashes):
+        return np.array([], np.int64)
+    rank = np.empty(len(hashes), np.int64)
+    sorted_at = np.lexsort((hashes, order))
+    o, h = order[sorted_at], hashes[sorted_at]
+    rank[sorted_at] = np.cumsum(np.append(False, (o[1:] != o[:-1]) | (h[1:] != h[:-1])))
+    key = rank << 31 | (1 << 31) - 1 - place
+    left = runs[owner] - place  # runs from here to the end of the sequence
+    best, at = key.copy(), np.arange(len(key))
+    for step in range(1, window):
+        nxt = np.minimum(np.arange(len(key)) + step, len(key) - 1)
+        less = (left > step) & (key[nxt] < best)
+        best[less], at[less] = key[nxt][less], nxt[less]
+    begins = (left >= window) | (place == 0)
+    return np.unique(at[begins])
 
 
 def word_sequences(rows: DataFrame, row_id: str, text: str, side: F.Column, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +126,14 @@ def word_sequences(rows: DataFrame, row_id: str, text: str, side: F.Column, min_
 
 
 def fingerprints(seqs: DataFrame, k: int = RUN_WORDS, window: int = WINDOW) -> DataFrame:
-    """(side, seq_id, hash, place, n, sketch): the selected hashes and where their runs begin; size and sketch of the word set."""
+    """(side, seq_id, hash, place, n, sketch, sketch2): the selected hashes and where their runs begin; size and sketches of the word set."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, hashes in _hashes_of(batches, "seq", k):
-            flat = np.concatenate([np.unique(h) for h in hashes]) if hashes else np.array([], np.int64)
-            values, n = np.unique(flat, return_counts=True)
+        seen = _Words()
+        for pdf in batches:
+            got = _Batch(pdf["seq"], seen, k)
+            pairs = np.unique(np.stack([got.hashes, got.owner]), axis=1)[0] if len(got.hashes) else got.hashes
+            values, n = np.unique(pairs, return_counts=True)
             yield pd.DataFrame({"hash": values.astype(np.int64), "n": n.astype(np.int64)})
 
     counted = seqs.select("seq").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -124,30 +144,23 @@ def fingerprints(seqs: DataFrame, k: int = RUN_WORDS, window: int = WINDOW) -> D
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
-        bits = _Words()
-        for pdf, found in _hashes_of(batches, "seq", k):
-            sides, ids, hs, place, sizes, sketches = [], [], [], [], [], []
-            for side, i, h, seq in zip(pdf["side"], pdf["seq_id"], found, pdf["seq"]):
-                distinct = set(seq.split(" "))
-                sketch = 0
-                for w in distinct:
-                    sketch |= 1 << (bits[w] & 63)
-                sketch -= (sketch >> 63) << 64
-                order = np.ones(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    order = np.where(known[at] == h, counts[at], 1)
-                for p in winnow(h.tolist(), order.tolist(), window):
-                    sides.append(side)
-                    ids.append(i)
-                    hs.append(h[p])
-                    place.append(p)
-                    sizes.append(len(distinct))
-                    sketches.append(sketch)
-            types = {"side": "int32", "seq_id": "int64", "hash": "int64", "place": "int32", "n": "int32", "sketch": "int64"}
-            yield pd.DataFrame({"side": sides, "seq_id": ids, "hash": hs, "place": place, "n": sizes, "sketch": sketches}).astype(types)
-
-    return seqs.select("side", "seq_id", "seq").mapInPandas(select, "side int, seq_id long, hash long, place int, n int, sketch long")
+        seen = _Words()
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            got = _Batch(pdf["seq"], seen, k)
+            order = np.ones(len(got.hashes), np.int64)
+            if len(known) and len(order):
+                at = np.minimum(np.searchsorted(known, got.hashes), len(known) - 1)
+                order = np.where(known[at] == got.hashes, counts[at], 1)
+            picked = winnow(got.owner, got.place, got.runs, got.hashes, order, window)
+            own = got.owner[picked]
+            size, a, b = got.sketches()
+            columns = {"side": pdf["side"].to_numpy()[own], "seq_id": pdf["seq_id"].to_numpy()[own], "hash": got.hashes[picked], "place": got.place[picked], "n": size[own], "sketch": a[own], "sketch2": b[own]}
+            types = {"side": "int32", "seq_id": "int64", "hash": "int64", "place": "int32", "n": "int32", "sketch": "int64", "sketch2": "int64"}
+            yield pd.DataFrame(columns).astype(types)
+
+    return seqs.select("side", "seq_id", "seq").mapInPandas(select, "side int, seq_id long, hash long, place int, n int, sketch long, sketch2 long")
 
 
 def seed_pairs(prints: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
@@ -155,16 +168,17 @@ def seed_pairs(prints: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
 
     Only pairs whose sizes and sketches allow a likeness of num/den.
     """
-    left = prints.where("side = 0").select("hash", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = prints.where("side = 1").select("hash", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    left = prints.where("side = 0").select("hash", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("sketch2").alias("la"))
+    right = prints.where("side = 1").select("hash", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("sketch2").alias("lb"))
     # the largest symmetric difference that two sets of these sizes may have; equal bits never count against a pair
     most = F.expr(f"(na + nb) - 2 * ((({num} * (na + nb)) + {num + den - 1}) div {num + den})")
-    both = left.join(right, "hash").where(F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= most)
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+    both = left.join(right, "hash").where(near("ka", "kb") & near("la", "lb"))
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("pa", "pb"))).alias("seeds"))
 
 
 def prefix_keys(seqs: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
-    """(side, seq_id, hash, depth, place, n, sketch): the groups in which each sequence meets all others of likeness num/den.
+    """(side, seq_id, hash, depth, place, n, sketch, sketch2): the groups in which each sequence meets all others of likeness num/den.
 
     place: where the last of the group's depth words stands among the n words of the set, rarest first.
     """
@@ -181,24 +195,24 @@ def prefix_keys(seqs: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
             lens = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             starts = np.cumsum(lens) - lens
             flat = lists.flatten().to_numpy()
-            sketch = np.bitwise_or.reduceat(np.uint64(1) << (flat.view(np.uint64) & np.uint64(63)), starts).view(np.int64)
+            sketches = [np.bitwise_or.reduceat(x, starts).view(np.int64) for x in word_bits(flat.view(np.uint64))]
             codes = coder.encode(flat)
             rec, key, pos, depth = group_rows(starts, lens, codes[_row_order(codes, lens)], coder, like, GROUP_ROWS)
             side, ids = (batch.column(i).take(pa.array(rec)) for i in (0, 1))
             ints = [pa.array(x.astype(np.int32)) for x in (depth, pos, lens[rec])]
-            yield pa.RecordBatch.from_arrays([side, ids, pa.array(key.view(np.int64)), *ints, pa.array(sketch[rec])], names=["side", "seq_id", "hash", "depth", "place", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([side, ids, pa.array(key.view(np.int64)), *ints, *(pa.array(x[rec]) for x in sketches)], names=["side", "seq_id", "hash", "depth", "place", "n", "sketch", "sketch2"])
 
-    found = sets.mapInArrow(keys, "side string, seq_id long, hash long, depth int, place int, n int, sketch long")
+    found = sets.mapInArrow(keys, "side string, seq_id long, hash long, depth int, place int, n int, sketch long, sketch2 long")
     return found.withColumn("side", F.col("side").cast("int"))
 
 
 def prefix_pairs(keys: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     """(a, b): pairs of sequences of sides 0 and 1 in a common group whose sizes, places and sketches allow a likeness of num/den."""
-    left = keys.where("side = 0").select("hash", "depth", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = keys.where("side = 1").select("hash", "depth", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    left = keys.where("side = 0").select("hash", "depth", F.col("seq_id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("sketch2").alias("la"))
+    right = keys.where("side = 1").select("hash", "depth", F.col("seq_id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("sketch2").alias("lb"))
     needed = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
     # in the group of the rarest words two sets share, what they share besides stands after these words
-    allowed = F.expr(f"depth + least(na - pa, nb - pb) - 1 >= {needed} and bit_count(ka ^ kb) <= na + nb - 2 * {needed}")
+    allowed = F.expr(f"depth + least(na - pa, nb - pb) - 1 >= {needed} and bit_count(ka ^ kb) <= na + nb - 2 * {needed} and bit_count(la ^ lb) <= na + nb - 2 * {needed}")
     return left.join(right, ["hash", "depth"]).where(allowed).select("a", "b").distinct()
 
 

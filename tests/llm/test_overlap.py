@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from opinark.llm import overlap
@@ -51,10 +52,23 @@ def test_alignment_counts_words_around_seeds():
 
 
 def test_winnowing_keeps_a_hash_of_every_window():
-    h = [5, 3, 9, 1, 7, 7, 2]
-    picked = overlap.winnow(h, [1] * len(h), 3)
-    assert all(any(s <= p < s + 3 for p in picked) for s in range(len(h) - 2))
-    assert overlap.winnow([], [], 3) == [] and overlap.winnow([4], [1], 3) == [0]
+    """Several sequences at once, some shorter than a window, with ties: the same places as window by window."""
+    rng = random.Random(8)
+    runs = np.array([rng.randrange(0, 12) for _ in range(200)])
+    owner = np.repeat(np.arange(len(runs)), runs)
+    place = np.concatenate([np.arange(n) for n in runs])
+    hashes, order = (np.array([rng.randrange(6) for _ in owner], np.int64) for _ in range(2))
+    for window in (1, 3, 4):
+        want, at = [], 0
+        for n in runs.tolist():
+            picked = set()
+            for start in range(max(1, n - window + 1) if n else 0):
+                picked.add(min(range(start, min(start + window, n)), key=lambda i: (order[at + i], hashes[at + i], -i)))
+            want.extend(sorted(at + i for i in picked))
+            at += n
+        assert overlap.winnow(owner, place, runs, hashes, order, window).tolist() == want
+    none = np.array([], np.int64)
+    assert overlap.winnow(none, none, none, none, none, 3).tolist() == []
 
 
 def test_evenly_spaced_edits_and_reordered_clauses(spark):
