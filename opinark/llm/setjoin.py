@@ -12,6 +12,10 @@ are connected already are not compared again. A group of look-alikes of any size
 one comparison and one link per row and task rather than one per pair, and no link between
 separate groups is ever lost. Exact copies collapse map-side to one row per map task first.
 
+A partition that many more rows than estimated come to, as a large family of near-copies shares all its words, is
+counted before the join and cut into blocks; every two blocks meet in a task of their own, so no task grows
+with the family and no link is lost. That costs the square of the family's size over MAX_TASK_ROWS.
+
 Rows travel once per prefix partition as compressed column blocks. Rows that would meet by a word
 of more than MAX_TASK_ROWS rows meet by pairs of words instead, by triples, and so on. Short sets whose
 partners may share no further word stay in the group by fewer words as well.
@@ -31,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinark.llm.text import words
-from opinark.runtime import cut
+from opinark.runtime import cut, lookup_join
 
 TOP_WORDS = 60_000
 MAX_TASK_ROWS = 100_000
 MAX_DEPTH = 6
+#: A partition of so many times MAX_TASK_ROWS rows is met in blocks.
+OVERFULL = 3
 #: Partitions at least, so that a row goes to as many of them in small tables as in large ones.
 MIN_PARTS = 96
 #: Groups up to this size are compared pair by pair; larger ones are split by a further word.
@@ -464,7 +470,7 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
                     copy_id.append(i)
                     copy_rep.append(rep)
             if copy_id:
-                yield _out([-1], [np.concatenate([np.array(copy_id, "<i8"), np.array(copy_rep, "<i8")]).tobytes()])
+                yield _out([-1], [len(copy_id)], [np.concatenate([np.array(copy_id, "<i8"), np.array(copy_rep, "<i8")]).tobytes()])
             keep = np.array(keep, np.int64)
             held.append((ids[keep], lens[keep], codes[_gather(starts, lens, keep)]))
             size += len(keep)
@@ -482,10 +488,10 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
         part, rec = send_to // len(ids), send_to % len(ids)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         blocks = [rec[a:b] for a, b in zip(first, np.append(first[1:], len(rec)))]
-        return _out(part[first].tolist(), [_pack(ids[r], lens[r], codes[_gather(starts, lens, r)]) for r in blocks])
+        return _out(part[first].tolist(), [len(r) for r in blocks], [_pack(ids[r], lens[r], codes[_gather(starts, lens, r)]) for r in blocks])
 
-    def _out(part: list[int], blocks: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+    def _out(part: list[int], sizes: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "n", "block"])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         got = [_unpack(b) for b in table.column("block").to_pylist()]
@@ -495,12 +501,26 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
         a, b, w, lead = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": w, "lead": lead})
 
-    sent = cut(sets.mapInArrow(send, "part int, block binary"), "blocks")
+    sent = cut(sets.mapInArrow(send, "part int, n int, block binary"), "blocks")
     copies = sent.where("part = -1").mapInArrow(_copies, "row_id long, rep long")
-    links = sent.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long, likeness double, lead long")
+    links = _met(sent.where("part >= 0")).groupBy("part", "i", "j").applyInArrow(meet, "a long, b long, likeness double, lead long")
     return cut(links.where("a <> b"), "links"), copies
 
 
+def _met(sent: DataFrame) -> DataFrame:
+    """(part, i, j, block): the blocks that one task takes; i and j are the two parts of an overfull partition that meet there."""
+    over = sent.groupBy("part").agg(F.sum("n").alias("rows")).where(F.col("rows") > OVERFULL * MAX_TASK_ROWS)
+    over = cut(over.select("part", F.ceil(F.col("rows") / MAX_TASK_ROWS).cast("int").alias("s")), "overfull")
+    none = F.lit(0)
+    if not over.limit(1).count():
+        return sent.select("part", none.alias("i"), none.alias("j"), "block")
+    # blocks are numbered where they are read, so that a block has one number
+    placed = lookup_join(cut(sent.withColumn("id", F.monotonically_increasing_id()), "numbered"), over, ["part"], "left")
+    placed = placed.withColumn("k", F.pmod(F.xxhash64("id"), F.coalesce("s", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(none, F.coalesce("s", F.lit(1)) - 1), lambda t: F.col("s").isNull() | (t != F.col("k")))
+    return placed.select("part", "k", "block", F.explode(others).alias("t")).select("part", F.least("k", "t").alias("i"), F.greatest("k", "t").alias("j"), "block")
+
+
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.column("block").to_pylist():

@@ -66,6 +66,24 @@ def test_large_dense_group_and_copies(spark):
     assert got == {(0, i) for i in range(1, 1500)} | {(5000, 5000 + i) for i in range(1, 500)}
 
 
+def test_family_too_large_for_a_task_meets_in_blocks(spark, monkeypatch):
+    """A third of all rows are near-copies; the partitions they come to are cut into blocks that meet two by two."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(12)]
+    rows = [(i, " ".join(base[:10] + [f"n{rng.randrange(900)}"] + ([f"m{rng.randrange(9)}"] if i % 3 else []))) for i in range(240)] + variants(rng, 40, 400)[240:]
+    want = brute(rows)
+    monkeypatch.setattr(setjoin, "MAX_TASK_ROWS", 30)
+    df = spark.createDataFrame(rows, "row_id long, sentence_text string").repartition(12)
+    met = []
+    plain = setjoin._met
+    monkeypatch.setattr(setjoin, "_met", lambda sent: met.append(plain(sent).persist()) or met[-1])
+    sets = setjoin.word_sets(df, "row_id", "sentence_text").persist()
+    links, copied = setjoin.likeness_links(sets)
+    members = spectral.with_copies(spectral.spectral_clusters(links), copied)
+    assert {(r.root, r.row_id) for r in members.where("row_id <> root").collect()} == want
+    assert met[0].where("j > 0").count()
+
+
 def test_chain_of_neighbours(spark):
     tokens = [f"t{i:03}" for i in range(120)]
     rows = [(i, " ".join(tokens[i : i + 20])) for i in range(0, 100, 3)]
