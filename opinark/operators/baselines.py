@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinark.operators.spans import let
+from opinark.runtime import lookup_join
 
 # Words of clear polarity for the rule baseline.
 POSITIVE = ("good", "great", "excellent", "love", "perfect", "nice", "happy", "easy", "best", "fast", "comfortable", "reliable", "sturdy", "useful", "beautiful")
@@ -35,6 +36,29 @@ def lexicon_sentiment(words: Column | str, cut: float = 0.05) -> Column:
     return let(let(ws, total), label)
 
 
+def learn_lexicon(rated: DataFrame, words: str, label: str, least: int = 5) -> DataFrame:
+    """(word, valence) of words that `least` rows or more hold: how much likelier they are in rows labelled 2 than in rows labelled 0.
+
+    Smoothed logarithm of the ratio, to six decimals; other labels do not count.
+    """
+    each = rated.where(F.col(label).isin(0, 2)).select(F.explode(F.array_distinct(words)).alias("word"), (F.col(label) == 2).alias("up"))
+    counts = each.groupBy("word").agg(F.count_if("up").alias("p"), F.count_if(~F.col("up")).alias("n")).where(F.col("p") + F.col("n") >= least)
+    totals = rated.agg(F.count_if(F.col(label) == 2).alias("np"), F.count_if(F.col(label) == 0).alias("nn"))  # one row
+    ratio = F.log((F.col("p") + 1) / (F.col("np") + 2)) - F.log((F.col("n") + 1) / (F.col("nn") + 2))
+    return counts.crossJoin(F.broadcast(totals)).select("word", F.round(ratio, 6).alias("valence"))
+
+
+def learned_sentiment(df: DataFrame, key: str, words: str, lexicon: DataFrame, cut: float = 0.05) -> DataFrame:
+    """(key, score, sentiment 0..2): the balance of the words' valences, turned round after a negation; without known words 1."""
+    each = df.select(key, F.posexplode(words).alias("_i", "word"), F.col(words).alias("_ws"))
+    turned = F.coalesce(F.get("_ws", F.col("_i") - 1).isin(*NEGATIONS), F.lit(False)) & (F.col("_i") > 0)
+    found = lookup_join(each.select(key, "word", turned.alias("_t")), lexicon, ["word"])
+    total = found.groupBy(key).agg(F.round(F.sum(F.when(F.col("_t"), -F.col("valence")).otherwise(F.col("valence"))), 5).alias("_s"))
+    score = F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15), 5)
+    scored = df.select(key).distinct().join(total, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("score"))
+    return scored.withColumn("sentiment", F.when(F.col("score") >= cut, 2).when(F.col("score") <= -cut, 0).otherwise(1))
+
+
 def balanced(df: DataFrame, label: str, into: str = "class_weight") -> DataFrame:
     """Rows with weight n / (k * count of their class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))

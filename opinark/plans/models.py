@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinark.functions import text as X
-from opinark.operators import metrics, pseudo, sample, scoring, spans, triplets
+from opinark.operators import baselines, metrics, pseudo, sample, scoring, spans, triplets
 from opinark.plans.labelling import _BEST, _md5_labels, _triplets
 from opinark.plans.labelling import _TRIPLET_SQL
 from opinark.plans.registry import core
@@ -196,3 +196,23 @@ def j7_shuffled(spark, sf_dir):
 
     keyed = table(spark, sf_dir, "seed_42").select("row_id", sample.hash_order("row_id").alias("h"))
     return io.slices(keyed, ["h", "row_id"], 1, "place").select("row_id", "place")
+
+
+@core.query(
+    "m12_learned_sentiment",
+    """WITH r AS (SELECT text, CASE WHEN rating >= 4 THEN 2 WHEN rating <= 2 THEN 0 ELSE 1 END AS y, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws, contains('012', md5(text)[1]) AS held FROM reviews WHERE text IS NOT NULL AND rating IS NOT NULL),
+    e AS (SELECT y, unnest(list_distinct(ws)) AS word FROM r WHERE NOT held AND y <> 1), c AS (SELECT word, count(*) FILTER (WHERE y = 2) AS p, count(*) FILTER (WHERE y = 0) AS n FROM e GROUP BY 1 HAVING count(*) >= 5),
+    t AS (SELECT count(*) FILTER (WHERE y = 2) AS np, count(*) FILTER (WHERE y = 0) AS nn FROM r WHERE NOT held), lex AS (SELECT word, round(ln((p + 1) / (np + 2)) - ln((n + 1) / (nn + 2)), 6) AS valence FROM c, t),
+    d AS (SELECT DISTINCT text, ws FROM r WHERE held), u AS (SELECT text, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+    v AS (SELECT text, round(sum(CASE WHEN i > 1 AND ws[i - 1] IN ('not', 'no', 'never') THEN -valence ELSE valence END), 5) AS s FROM u JOIN lex ON lex.word = ws[i] GROUP BY 1),
+    p AS (SELECT d.text, round(coalesce(s / sqrt(s * s + 15), 0), 5) AS score FROM d LEFT JOIN v USING (text))
+    SELECT y, CASE WHEN score >= 0.05 THEN 2 WHEN score <= -0.05 THEN 0 ELSE 1 END AS p, count(*) AS n FROM r JOIN p USING (text) WHERE held GROUP BY 1, 2""",
+)
+def m12_learned_sentiment(spark, sf_dir):
+    """Words get their valence from the ratings of four fifths of the texts; the others are scored."""
+    rows = table(spark, sf_dir, "reviews").where("text is not null and rating is not null")
+    rows = rows.select("text", F.when(F.col("rating") >= 4, 2).when(F.col("rating") <= 2, 0).otherwise(1).alias("y"), X.tokens(F.lower("text")).alias("words"))
+    held = F.substring(F.md5("text"), 1, 1).isin("0", "1", "2")
+    lexicon = baselines.learn_lexicon(rows.where(~held), "words", "y")
+    scored = baselines.learned_sentiment(rows.where(held).select("text", "words").distinct(), "text", "words", lexicon)
+    return rows.where(held).join(scored, "text").groupBy("y", F.col("sentiment").alias("p")).agg(F.count("*").alias("n"))
