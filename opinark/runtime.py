@@ -79,6 +79,29 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return big.join(F.broadcast(small) if is_small(small) else small, list(on), how)
 
 
+#: Rows of one key in the large side of a join beyond which they stay where they are.
+HOT_ROWS = 100_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, n: str, most: int | None = None) -> DataFrame:
+    """Inner join of big with small, which has one row a key and in n how many rows of big have the key; n is dropped.
+
+    Rows of hot keys meet a broadcast of these keys, of which there are at most rows / HOT_ROWS (counted all the same);
+    all others are shuffled. most: the greatest n, if it is known.
+    """
+    plain = small.drop(n)
+    if most is None:
+        most = small.agg(F.max(n)).first()[0]
+    if not most or most <= HOT_ROWS:
+        return big.join(plain, key)
+    columns = [c for c in plain.columns if c != key]
+    hot = small.where(F.col(n) > HOT_ROWS).select(key, F.struct(*columns).alias("_hot"))
+    marked = lookup_join(big, hot, [key], "left")
+    here = marked.where("_hot is not null").select(*big.columns, *(F.col(f"_hot.{c}").alias(c) for c in columns))
+    rest = marked.where("_hot is null").drop("_hot").join(small.where(F.col(n) <= HOT_ROWS).drop(n), key)
+    return here.unionByName(rest)
+
+
 #: White space that may stand around names and keys.
 BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
 

@@ -137,3 +137,15 @@ def test_stream(spark, tmp_path):
     stage1.write_stream(sentences, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r.review_id, r.sentence_id, r.sentence_text) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 1, "t"), (1, 2, "good"), (1, 3, "bad"), (2, 1, "fine")}
+
+
+def test_hot_join_gives_the_rows_of_a_plain_join(spark, monkeypatch):
+    from opinark import runtime
+
+    big = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 30 + ["b"] * 3 + ["c"] + ["z"] * 40 + [None] * 20)], "id long, k string")
+    small = spark.createDataFrame([("a", 30, 1.5), ("b", 3, None), ("c", 1, 2.5)], "k string, n long, v double")
+    want = {(i, "a", 1.5) for i in range(30)} | {(i, "b", None) for i in (30, 31, 32)} | {(33, "c", 2.5)}
+    for bound in (2, 10, 100):
+        monkeypatch.setattr(runtime, "HOT_ROWS", bound)
+        got = runtime.hot_join(big, small, "k", "n")
+        assert {(r.id, r.k, r.v) for r in got.collect()} == want and got.count() == len(want)
