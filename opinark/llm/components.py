@@ -3,7 +3,7 @@
 Hash-to-min: every node keeps a cluster, at first itself and its neighbours. In each round a node
 sends its whole cluster to the cluster's smallest node, and that smallest node to the others. The
 number of rounds is logarithmic in practice. Clusters are rows (node, member), never collected
-lists, so a group with a third of all nodes stays spread over its members' partitions.
+lists; those of a node with very many members stay where they are and get its minimum by broadcast.
 
 Splits: components are placed by weighted rendezvous hashing. Those too large for hashing to even
 out are placed one by one into the split that lacks most; at most 1 / large_share components can
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinark.runtime import cut, discard
+from opinark.runtime import cut, discard, hot_join
 
 MAX_ROUNDS = 100
 
@@ -27,9 +27,9 @@ def star_edges(pairs: DataFrame, node: str, through: str) -> DataFrame:
 
     One edge per distinct (value, node), however many nodes share a value.
     """
-    distinct = pairs.where(F.col(node).isNotNull() & F.col(through).isNotNull()).select(F.col(node).alias("b"), F.col(through).alias("v")).distinct()
-    lowest = distinct.groupBy("v").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("v", "a")
-    return distinct.join(lowest, "v").where("a < b").select("a", "b").distinct()
+    distinct = cut(pairs.where(F.col(node).isNotNull() & F.col(through).isNotNull()).select(F.col(node).alias("b"), F.col(through).alias("v")).distinct(), "values")
+    lowest = distinct.groupBy("v").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("v", "a", "n")
+    return hot_join(distinct, lowest, "v", "n").where("a < b").select("a", "b").distinct()
 
 
 def hash_to_min(edges: DataFrame) -> DataFrame:
@@ -37,15 +37,16 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = both.select(F.col("a").alias("node"), F.col("a").alias("member"))
     clusters = cut(nodes.unionByName(both.select(F.col("a").alias("node"), F.col("b").alias("member"))).distinct(), "clusters")
+    most = None
     for _ in range(MAX_ROUNDS):
-        low = clusters.groupBy("node").agg(F.min("member").alias("low"))
-        sent = clusters.join(low, "node")
+        low = clusters.groupBy("node").agg(F.min("member").alias("low"), F.count("*").alias("n"))
+        sent = hot_join(clusters, low, "node", "n", most)
         to_low = sent.select(F.col("low").alias("node"), "member")
         to_rest = sent.select(F.col("member").alias("node"), F.col("low").alias("member"))
         new = cut(to_low.unionByName(to_rest).distinct(), "clusters")
         # stable when every cluster is {root} or that of the root itself
         low_now = new.groupBy("node").agg(F.min("member").alias("low"), F.count("*").alias("n"))
-        unstable = low_now.where("low <> node and n > 1").limit(1).count()
+        most, unstable = low_now.agg(F.max("n"), F.count_if((F.col("low") != F.col("node")) & (F.col("n") > 1))).first()
         discard(clusters)
         clusters = new
         if not unstable:

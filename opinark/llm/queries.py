@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opinark.llm import components, copies, cutoffs, leakage, overlap, packing, sentences, setjoin, spectral, variety
 from opinark.plans.registry import Registry
-from opinark.runtime import cut, item_key, name_key, scratch_path, strip, table
+from opinark.runtime import cut, hot_join, item_key, name_key, scratch_path, strip, table
 
 llm = Registry()
 
@@ -105,7 +105,11 @@ def _split_rows(spark, sf_dir):
         .unionByName(lone)
         .unionByName(rows.where("item is null and review is null").select("row_id", F.lit(None).cast("string").alias("home"), F.concat(F.lit("row "), "row_id").alias("own")))
     )
-    return keyed.join(roots.withColumnRenamed("item", "home"), "home", "left").select("row_id", F.coalesce("root", "home", "own").alias("root"))
+    # rows of one item are counted: those of a hot one are not moved
+    homes = keyed.where("home is not null").groupBy("home").agg(F.count("*").alias("n"))
+    homes = homes.join(roots.withColumnRenamed("item", "home"), "home", "left").select("home", F.coalesce("root", "home").alias("root"), "n")
+    placed = hot_join(keyed, cut(homes, "homes"), "home", "n").select("row_id", "root")
+    return placed.unionByName(keyed.where("home is null").select("row_id", F.col("own").alias("root")))
 
 
 @llm.query("p6_splits")
@@ -114,7 +118,7 @@ def p6_splits(spark, sf_dir):
     rows = cut(_split_rows(spark, sf_dir), "components")
     targets = [(r["split_name"], r["proportion"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").collect()]
     sizes = components.assign_splits(cut(rows.groupBy("root").agg(F.count("*").alias("n")), "sizes"), targets)
-    return rows.join(sizes.select("root", "split"), "root").select("row_id", F.col("root").alias("component"), "split")
+    return hot_join(rows, sizes.select("root", "split", "n"), "root", "n").select("row_id", F.col("root").alias("component"), "split")
 
 
 @llm.query("p6_split_sizes")

@@ -1,5 +1,6 @@
 import random
 
+from opinark import runtime
 from opinark.llm import components
 
 
@@ -39,6 +40,13 @@ def test_random_graph_and_nulls(spark):
     check(spark, pairs)
 
 
+def test_hot_reviews_and_roots_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
+    random.seed(4)
+    hub = [(f"h{i:03}", "hub") for i in range(120)] + [(f"h{i:03}", f"r{i}") for i in range(0, 120, 7)]
+    check(spark, hub + [(f"i{random.randrange(90):02}", f"q{random.randrange(120)}") for _ in range(150)])
+
+
 def test_long_path_hub_and_empty(spark):
     path = [(f"p{i:03}", f"e{j}") for i in range(60) for j in (i, i + 1)]
     hub = [(f"h{i:03}", "hub") for i in range(300)]
