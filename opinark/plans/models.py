@@ -24,9 +24,17 @@ def _digit(text: str, k: int) -> int:
 
 
 def _load_parser():
+    import re
+
     import pandas as pd
 
-    return lambda pdf: pd.DataFrame({"n_tokens": pd.Series([len((t or "").split()) for t in pdf["sentence_text"]], dtype="int32"), "last": pd.Series([((t or "").split() or [None])[-1] for t in pdf["sentence_text"]], dtype=object)})
+    token = re.compile(r"[^ \t\n\r\f\v]+")
+
+    def parse(pdf):
+        found = [token.findall(t or "") for t in pdf["sentence_text"]]
+        return pd.DataFrame({"n_tokens": pd.Series([len(ws) for ws in found], dtype="int32"), "last": pd.Series([ws[-1] if ws else None for ws in found], dtype=object)})
+
+    return parse
 
 
 @core.query("k2_batch_parse", "SELECT row_id, CAST(len(ws) AS INTEGER) AS n_tokens, ws[-1] AS last FROM (SELECT row_id, regexp_extract_all(coalesce(sentence_text, ''), '\\S+') AS ws FROM seed_42)")

@@ -143,7 +143,7 @@ def c15_token_offsets(spark, sf_dir):
     return found.select("row_id", (F.col("p") + 1).alias("place"), F.col("t.token").alias("token"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
 
 
-@core.query("c42_fill_tags", "SELECT row_id, replace(replace(s, '[GENERIC_NOUN]', 'thing'), '[DOMAIN_NOISE]', 'shipping') AS parsed, trim(regexp_replace(replace(replace(s, '[GENERIC_NOUN]', ''), '[DOMAIN_NOISE]', ''), '\\s+', ' ', 'g')) AS prompt FROM (SELECT row_id, replace(sentence_text, 'the', CASE WHEN row_id % 2 = 0 THEN '[GENERIC_NOUN]' ELSE '[DOMAIN_NOISE]' END) AS s FROM seed_42)")
+@core.query("c42_fill_tags", "SELECT row_id, replace(replace(s, '[GENERIC_NOUN]', 'thing'), '[DOMAIN_NOISE]', 'shipping') AS parsed, trim(regexp_replace(replace(replace(s, '[GENERIC_NOUN]', ''), '[DOMAIN_NOISE]', ''), '\\s+', ' ', 'g'), ' ') AS prompt FROM (SELECT row_id, replace(sentence_text, 'the', CASE WHEN row_id % 2 = 0 THEN '[GENERIC_NOUN]' ELSE '[DOMAIN_NOISE]' END) AS s FROM seed_42)")
 def c42_fill_tags(spark, sf_dir):
     """Tags by words that a parser knows, and by nothing for prompts."""
     tag = F.when(F.col("row_id") % 2 == 0, lexicons.GENERIC_TAG).otherwise(lexicons.NOISE_TAG)

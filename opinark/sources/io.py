@@ -123,8 +123,9 @@ def write_missing(df: DataFrame, path: str, partition: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with header. one_file is for reports only."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with header; white space at the ends of texts stays. one_file is for reports only."""
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def slices(df: DataFrame, order: Sequence[str], size: int = 100, into: str = "slice_no") -> DataFrame:
