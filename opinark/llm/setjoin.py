@@ -19,10 +19,18 @@ with the family and no link is lost. That costs the square of the family's size
 Rows travel once per prefix partition as compressed column blocks. Rows that would meet by a word
 of more than MAX_TASK_ROWS rows meet by pairs of words instead, by triples, and so on. Short sets whose
 partners may share no further word stay in the group by fewer words as well.
+
+Pairs of words are many: 45 of ten words. So words are put into classes, and only pairs within a class are
+groups: of any c + 1 words that two rows share, two are of one of c classes. Prefixes are longer by c - 1 words
+for that. The number of classes that sends rows to the fewest partitions is found on a sample. It
+decides only the cost, as do the number of partitions and that of waves: rows that would go to more than
+MAX_COPIES partitions on average are sent to WAVE_COPIES of them at a time, so that what lies on disk at once
+does not grow with the partitions a row goes to.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +39,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinark.llm.text import words
-from opinark.runtime import cut, lookup_join
+from opinark.runtime import cut, discard, lookup_join
 
 TOP_WORDS = 60_000
 MAX_TASK_ROWS = 100_000
@@ -44,6 +53,14 @@ MAX_DEPTH = 6
 OVERFULL = 3
 #: Partitions at least, so that a row goes to as many of them in small tables as in large ones.
 MIN_PARTS = 96
+#: Partitions that a row goes to at once, on average; and in one wave, if they are more.
+MAX_COPIES, WAVE_COPIES = 10, 6
+#: Rows of the sample that tells how many they are, about.
+SAMPLE_ROWS = 4_000
+#: Numbers of classes that are tried.
+CLASSES = (1, 2, 3, 4)
+#: Rows that are grouped at once, and rows of one block before it is split by partition.
+GROUPED_ROWS, BLOCK_ROWS = 1 << 14, MAX_TASK_ROWS // 2
 #: Groups up to this size are compared pair by pair; larger ones are split by a further word.
 SMALL_GROUP = 40
 _SIGN = np.int64(-(2**63))
@@ -187,16 +204,21 @@ def _expand(rec: np.ndarray, key: np.ndarray, pos: np.ndarray, end: np.ndarray,
     return parent, _mix(key[parent], codes[starts[rec[parent]] + new]), new
 
 
-def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, most: int | None = None) -> tuple[np.ndarray, ...]:
+def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, most: int | None = None, classes: int = 1) -> tuple[np.ndarray, ...]:
     """(record, key, position, depth): the groups in which each record must meet its partners.
 
     Groups estimated above most (MAX_TASK_ROWS if none is given) rows are replaced by groups of one more word, but
-    a record that may share no more words with a partner than the group has stays in the group too.
+    a record that may share no more words with a partner than the group has stays in the group too. The second word is of
+    the first one's class; the words of groups of two and more are then among the first depth + classes - 1 shared, not the first depth.
     """
     most = MAX_TASK_ROWS if most is None else most
+    slack = classes - 1
     probe, least = like.probe(lens), like.least_shared(lens)
-    rec = np.repeat(np.arange(len(lens)), probe)
-    first = np.cumsum(probe) - probe
+    reach = probe
+    if slack and len(lens):  # the first shared word is of many rows, and with it all others, only where the last word of the prefix is
+        reach = np.where(coder.share(codes[starts + probe - 1]) * coder.rows > most, np.minimum(probe + slack, lens), probe)
+    rec = np.repeat(np.arange(len(lens)), reach)
+    first = np.cumsum(reach) - reach
     pos = np.arange(len(rec)) - first[rec]
     code = codes[starts[rec] + pos]
     if coder.complete:  # a word of one row has no partner
@@ -205,18 +227,26 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
     key = _mix(np.zeros(len(rec), np.uint64), code)
     big = code >= np.searchsorted(coder.counts, most, "right")
     if not big.any():
-        return rec, key, pos, np.ones(len(rec), np.int64)
+        prefix = pos < probe[rec]
+        return rec[prefix], key[prefix], pos[prefix], np.ones(int(prefix.sum()), np.int64)
     est = coder.share(code)
     out = []
     for depth in range(1, MAX_DEPTH + 1):
         big = (est * coder.rows > most) if depth < MAX_DEPTH else np.zeros(len(rec), bool)
-        here = ~big | (least[rec] <= depth)
+        here = ~big | (least[rec] <= depth + slack)
+        if depth == 1:
+            here &= pos < probe[rec]
         out.append((rec[here], key[here], pos[here], np.full(int(here.sum()), depth)))
         if not big.any():
             break
-        r, e = rec[big], est[big]
-        parent, key, pos = _expand(r, key[big], pos[big], np.minimum(probe + depth, lens), starts, codes)
-        rec, est = r[parent], e[parent] * coder.share(codes[starts[r[parent]] + pos])
+        r, k, e, before = rec[big], key[big], est[big], pos[big]
+        parent, key, pos = _expand(r, k, before, np.minimum(probe + depth + slack, lens), starts, codes)
+        rec = r[parent]
+        code = codes[starts[rec] + pos]
+        est = e[parent] * coder.share(code)
+        if depth == 1 and slack:
+            same = codes[starts[rec] + before[parent]] % classes == code % classes
+            rec, key, pos, est = rec[same], key[same], pos[same], est[same]
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -319,8 +349,8 @@ class _Local:
         self.label = self.remap[self.label]
         self.remap[moved] = moved
 
-    def run(self, rec: np.ndarray, key: np.ndarray, pos: np.ndarray, depth: int) -> None:
-        """All comparisons within the groups of equal key, all at the same depth."""
+    def run(self, rec: np.ndarray, key: np.ndarray, pos: np.ndarray, depth: int, slack: int = 0) -> None:
+        """All comparisons within the groups of equal key, all at the same depth; slack: shared words that groups may have passed over."""
         if len(rec) < 2:
             return
         if len(rec) > 1 << 20:  # by ranges of the key, to bound memory
@@ -329,7 +359,7 @@ class _Local:
                 half = side == s
                 if half.all():
                     break
-                self.run(rec[half], key[half], pos[half], depth)
+                self.run(rec[half], key[half], pos[half], depth, slack)
             else:
                 return
         order = np.sort((key >> np.uint64(23) << np.uint64(23)) | np.arange(len(key), dtype=np.uint64)) if len(key) < 1 << 23 else None
@@ -351,7 +381,7 @@ class _Local:
             self.link(lead[ok], rec[ok])
         label = self.label[rec]
         mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
-        indexed = np.logical_or.reduceat(pos < self.index[rec] + depth - 1, first)
+        indexed = np.logical_or.reduceat(pos < self.index[rec] + depth + slack - 1, first)
         live = (mixed & indexed)[group]
         small = live & (size <= SMALL_GROUP)[group]
         self.pairs(rec[small], group[small])
@@ -359,8 +389,8 @@ class _Local:
         rec, key, pos, group = rec[large], key[large], pos[large], group[large]
         if not len(rec):
             return
-        self.without_more(rec, group, depth)
-        end = np.minimum(self.probe + depth, self.lens)
+        self.without_more(rec, group, depth + slack)
+        end = np.minimum(self.probe + depth + slack, self.lens)
         step = 1 << 16
         cuts = [0]
         while cuts[-1] < len(rec):  # whole groups together
@@ -375,7 +405,7 @@ class _Local:
             if depth >= MAX_DEPTH or not len(parent):
                 self.blocks(r, group[a:b])
                 continue
-            self.run(r[parent], k2, p2, depth + 1)
+            self.run(r[parent], k2, p2, depth + 1, slack)
 
     def pairs(self, rec: np.ndarray, group: np.ndarray) -> None:
         """All pairs of small groups, by shifts of the sorted rows."""
@@ -394,16 +424,16 @@ class _Local:
         if found_i:
             self.link(np.concatenate(found_i), np.concatenate(found_j))
 
-    def without_more(self, rec: np.ndarray, group: np.ndarray, depth: int) -> None:
-        """Pairs of large groups that share just the group's words, so that no further word brings them together."""
-        short = self.least[rec] <= depth
+    def without_more(self, rec: np.ndarray, group: np.ndarray, most: int) -> None:
+        """Pairs of large groups that share up to most words, so that no further word may bring them together."""
+        short = self.least[rec] <= most
         rec, group = rec[short], group[short]
         if len(rec) < 2:
             return
         order = np.lexsort((self.lens[rec], group))
-        # where two sets with a word more each are not alike any more, one of a pair has the group's words only
-        longer = self.like.holds(np.array(depth), np.array(2 * depth + 2))
-        self.blocks(rec[order], group[order], None if longer else depth)
+        # where two sets with a word more each are not alike any more, one of a pair has the shared words only
+        longer = self.like.holds(np.array(most), np.array(2 * most + 2))
+        self.blocks(rec[order], group[order], None if longer else most)
 
     def blocks(self, rec: np.ndarray, group: np.ndarray, longest: int | None = None) -> None:
         """Groups that more words don't split: each record (of up to longest words) in turn against the later ones of other labels."""
@@ -418,32 +448,85 @@ class _Local:
                 own = own[n:]
 
 
-def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, part: int = 0, parts: int = 1, most: int | None = None, classes: int = 1) -> tuple[np.ndarray, ...]:
     """Links (id, id, likeness, lead) among records that meet in a group of one partition; lead is the first record of those joined to them there."""
     task = _Local(ids, lens, codes, coder, like)
     if len(ids) > 1:
-        rec, key, pos, depth = group_rows(task.starts, lens, codes, coder, like)
-        mine = (key % np.uint64(parts)).astype(np.int64) == part
-        rec, key, pos, depth = rec[mine], key[mine], pos[mine], depth[mine]
+        found = []
+        for at, some in _slices(lens, task.starts, codes):  # most groups are of other partitions
+            rec, key, pos, depth = group_rows(*some, coder, like, most, classes)
+            mine = (key % np.uint64(parts)).astype(np.int64) == part
+            found.append((rec[mine] + at, key[mine], pos[mine], depth[mine]))
+        rec, key, pos, depth = (np.concatenate(x) for x in zip(*found))
         for d in np.unique(depth):
             own = depth == d
-            task.run(rec[own], key[own], pos[own], int(d))
+            task.run(rec[own], key[own], pos[own], int(d), classes - 1 if d > 1 else 0)
     if not task.links:
         return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64), np.array([], np.int64)
     i, j, weight = (np.concatenate(x) for x in zip(*task.links))
     return ids[i], ids[j], weight, ids[task.label[i]]
 
 
-def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
+def _slices(lens: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The first record and (starts, lens, codes) of slices of GROUPED_ROWS records."""
+    for at in range(0, len(lens), GROUPED_ROWS):
+        own = slice(at, at + GROUPED_ROWS)
+        base = starts[at]
+        yield at, (starts[own] - base, lens[own], codes[base : starts[own][-1] + lens[own][-1]])
+
+
+def _coded(lists: pa.ListArray, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of word sets, and their words as codes, each set sorted."""
+    lens = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = coder.encode(lists.flatten().to_numpy())
+    return lens, flat[_row_order(flat, lens)]
+
+
+def _send_to(lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, parts: int, most: int | None, classes: int, wave: int = 0, waves: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(partition, record): the partitions of a wave that each record goes to, in order."""
+    out = []
+    for at, some in _slices(lens, np.cumsum(lens) - lens, codes):
+        rec, key, _, _ = group_rows(*some, coder, like, most, classes)
+        part = (key % np.uint64(parts)).astype(np.int64)
+        if waves > 1:
+            now = part % waves == wave
+            rec, part = rec[now], part[now]
+        out.append(np.unique(part * len(lens) + rec + at))
+    to = np.sort(np.concatenate(out)) if len(out) > 1 else out[0]
+    return to // len(lens), to % len(lens)
+
+
+def _fan_out(sets: DataFrame, shared: Broadcast, like: Likeness, most: int | None) -> tuple[int, float]:
+    """The best number of classes, and the partitions that a row then goes to, on average: both from a sample, exact where no word is of many rows."""
+    _, counts, rows = shared.value
+    prefix = 1 + (like.den - like.num) * (int(counts.sum()) / max(rows, 1)) / like.den
+    if counts.max(initial=0) <= (most or MAX_TASK_ROWS):
+        return 1, prefix
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                lens, codes = _coded(batch.column(0), coder)
+                got = [len(_send_to(lens, codes, coder, like, 1 << 31, most, c)[0]) for c in CLASSES]
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (batch.num_rows, *got)], names=["n", *(f"c{c}" for c in CLASSES)])
+
+    sample = sets.where(F.pmod(F.xxhash64("row_id"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).select("words")
+    n, *got = sample.mapInArrow(count, "n long, " + ", ".join(f"c{c} long" for c in CLASSES)).groupBy().sum().first()
+    return min(((g / n, c) for g, c in zip(got, CLASSES)))[::-1] if n else (1, prefix)
+
+
+def likeness_links(sets: DataFrame, like: Likeness = Likeness(), most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b, likeness, lead) links, a != b, and (row_id, rep) of rows that copy another row of their map task.
 
-    sets: the table made by word_sets. Rows without a partner are in neither frame.
+    sets: the table made by word_sets. Rows without a partner are in neither frame. most: as in group_rows.
     """
     spark = sets.sparkSession
     hashes, counts, rows = frequent_words(sets)
     shared = spark.sparkContext.broadcast((hashes, counts, rows))
-    mean_prefix = 1 + (like.den - like.num) * (int(counts.sum()) / max(rows, 1)) / like.den
-    parts = max(MIN_PARTS, int(rows * mean_prefix / MAX_TASK_ROWS) + 1)
+    classes, fan_out = _fan_out(sets, shared, like, most)
+    parts = max(MIN_PARTS, int(rows * fan_out / (most or MAX_TASK_ROWS)) + 1)
+    waves = math.ceil(fan_out / WAVE_COPIES) if fan_out > MAX_COPIES else 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value)
@@ -454,10 +537,7 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            lens = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            flat = coder.encode(lists.flatten().to_numpy())
-            codes = flat[_row_order(flat, lens)]
+            lens, codes = _coded(batch.column(1), coder)
             starts = np.cumsum(lens) - lens
             keep, copy_id, copy_rep = [], [], []
             raw = memoryview(codes.tobytes())
@@ -474,7 +554,7 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
             keep = np.array(keep, np.int64)
             held.append((ids[keep], lens[keep], codes[_gather(starts, lens, keep)]))
             size += len(keep)
-            if size >= MAX_TASK_ROWS // 2:
+            if size >= BLOCK_ROWS:
                 yield flush(held, coder)
                 held, size = [], 0
         if size:
@@ -482,10 +562,11 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
 
     def flush(held: list, coder: Coder) -> pa.RecordBatch:
         ids, lens, codes = (np.concatenate(x) for x in zip(*held))
+        return spread(ids, lens, codes, coder, 0) if waves == 1 else _out([-2], [len(ids)], [_pack(ids, lens, codes)])
+
+    def spread(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Coder, wave: int) -> pa.RecordBatch:
+        part, rec = _send_to(lens, codes, coder, like, parts, most, classes, wave, waves)
         starts = np.cumsum(lens) - lens
-        rec, key, _, _ = group_rows(starts, lens, codes, coder, like)
-        send_to = np.unique((key % np.uint64(parts)).astype(np.int64) * len(ids) + rec)
-        part, rec = send_to // len(ids), send_to % len(ids)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         blocks = [rec[a:b] for a, b in zip(first, np.append(first[1:], len(rec)))]
         return _out(part[first].tolist(), [len(r) for r in blocks], [_pack(ids[r], lens[r], codes[_gather(starts, lens, r)]) for r in blocks])
@@ -493,18 +574,37 @@ def likeness_links(sets: DataFrame, like: Likeness = Likeness()) -> tuple[DataFr
     def _out(part: list[int], sizes: list[int], blocks: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "n", "block"])
 
+    def again(wave: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = Coder(*shared.value)
+            for batch in batches:
+                for block in batch.column(0):
+                    yield spread(*_unpack(block.as_py()), coder, wave)
+
+        return run
+
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         got = [_unpack(b) for b in table.column("block").to_pylist()]
         ids, lens, codes = (np.concatenate(x) for x in zip(*got))
         order = np.argsort(ids)  # so that groups are led by their smallest ids in every task
         codes, ids, lens = codes[_gather(np.cumsum(lens) - lens, lens, order)], ids[order], lens[order]
-        a, b, w, lead = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts)
+        a, b, w, lead = local_links(ids, lens, codes, Coder(*shared.value), like, key[0].as_py(), parts, most, classes)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "likeness": w, "lead": lead})
 
-    sent = cut(sets.mapInArrow(send, "part int, n int, block binary"), "blocks")
+    schema = "part int, n int, block binary"
+    sent = cut(sets.mapInArrow(send, schema), "blocks")
     copies = sent.where("part = -1").mapInArrow(_copies, "row_id long, rep long")
-    links = _met(sent.where("part >= 0")).groupBy("part", "i", "j").applyInArrow(meet, "a long, b long, likeness double, lead long")
-    return cut(links.where("a <> b"), "links"), copies
+    found = None
+    for wave in range(waves):
+        now = sent.where("part >= 0") if waves == 1 else cut(sent.where("part = -2").select("block").mapInArrow(again(wave), schema), "wave")
+        links = _met(now).groupBy("part", "i", "j").applyInArrow(meet, "a long, b long, likeness double, lead long")
+        links = cut(links.where("a <> b"), "links")
+        found = links if found is None else found.unionByName(links)
+        if waves > 1:
+            discard(now)
+            del now
+            spark.sparkContext._jvm.System.gc()  # else the wave's shuffle files stay until the driver happens to collect its garbage
+    return found, copies
 
 
 def _met(sent: DataFrame) -> DataFrame:
@@ -514,9 +614,9 @@ def _met(sent: DataFrame) -> DataFrame:
     none = F.lit(0)
     if not over.limit(1).count():
         return sent.select("part", none.alias("i"), none.alias("j"), "block")
-    # blocks are numbered where they are read, so that a block has one number
-    placed = lookup_join(cut(sent.withColumn("id", F.monotonically_increasing_id()), "numbered"), over, ["part"], "left")
-    placed = placed.withColumn("k", F.pmod(F.xxhash64("id"), F.coalesce("s", F.lit(1))).cast("int"))
+    # blocks are numbered by what is in them, so that a block has one number however often it is read
+    placed = lookup_join(sent, over, ["part"], "left")
+    placed = placed.withColumn("k", F.when(F.col("s").isNull(), 0).otherwise(F.pmod(F.xxhash64("block"), F.col("s"))).cast("int"))
     others = F.filter(F.sequence(none, F.coalesce("s", F.lit(1)) - 1), lambda t: F.col("s").isNull() | (t != F.col("k")))
     return placed.select("part", "k", "block", F.explode(others).alias("t")).select("part", F.least("k", "t").alias("i"), F.greatest("k", "t").alias("j"), "block")
 

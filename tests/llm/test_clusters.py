@@ -215,3 +215,72 @@ def test_typical_members_stand_in_the_middle(spark):
     best = spectral.typical_members(members, sets, top=2).orderBy("rank").collect()
     assert [r.row_id for r in best] == [1, 2] and best[0].cluster_size == 3
     assert members.where(F.col("row_id") == 4).count() == 0
+
+
+def joined(ids, lens, codes, coder, parts, **how):
+    """The groups, as brute() gives them, that the links of all partitions make; rows come only to partitions they are sent to."""
+    up = {i: i for i in ids.tolist()}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    part, rec = setjoin._send_to(lens, codes, coder, setjoin.Likeness(), parts, how["most"], how["classes"])
+    starts = np.cumsum(lens) - lens
+    for p in range(parts):
+        own = rec[part == p]
+        a, b, _, _ = setjoin.local_links(ids[own], lens[own], codes[setjoin._gather(starts, lens, own)], coder, setjoin.Likeness(), p, parts, **how)
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+    return {(top(i), i) for i in up if top(i) != i}
+
+
+def test_pairs_within_classes_of_words_lose_no_link(monkeypatch):
+    """Frequent words are split into pairs of a class: groups as by brute force, at fewer partitions a row."""
+    monkeypatch.setattr(setjoin, "GROUPED_ROWS", 100)
+    hot = "good very nice works well really".split()
+    for seed, small in ((21, 1), (22, 3), (23, 40)):
+        rng = random.Random(seed)
+        monkeypatch.setattr(setjoin, "SMALL_GROUP", small)
+        near = [rng.sample([f"v{i}" for i in range(60)], rng.randrange(3, 32)) for _ in range(60)]
+        texts = [t for _, t in variants(rng, 30, 200)]
+        for _ in range(240):  # words of all frequencies, some replaced and dropped
+            ws = list(rng.choice(near))
+            for _ in range(rng.randrange(0, 1 + len(ws) // 4)):
+                ws[rng.randrange(len(ws))] = f"v{rng.randrange(60)}"
+            texts.append(" ".join(ws))
+        texts += [" ".join([*rng.sample(hot, n), *(f"x{rng.randrange(40)}" for _ in range(k)), *["good"] * 3]) for n in (2, 4, 6) for k in (0, 1, 2) for _ in range(8)]
+        kept = [(i, t) for i, t in enumerate(texts) if len(words(t)) >= 5]
+        sets = [sorted({setjoin._WordHashes()[w] for w in words(t)}) for _, t in kept]
+        ids, lens, flat = np.array([i for i, _ in kept]), np.array([len(s) for s in sets]), np.array([h for s in sets for h in s], np.int64)
+        hashes, counts = np.unique(flat, return_counts=True)
+        coder = setjoin.Coder(hashes, counts, len(kept))
+        codes = coder.encode(flat)
+        codes = codes[setjoin._row_order(codes, lens)]
+        want = brute(kept)
+        for most in (1, 5, 40):
+            for classes in setjoin.CLASSES:
+                assert joined(ids, lens, codes, coder, 7, most=most, classes=classes) == want, (seed, most, classes)
+
+
+def test_many_partitions_a_row_are_met_in_waves(spark, monkeypatch):
+    """All words are frequent: partitions are as many as rows are sent to, and what a wave sends is bounded."""
+    rng = random.Random(31)
+    bases = [rng.sample([f"v{i}" for i in range(40)], 20) for _ in range(90)]
+    rows = [(i, " ".join(["w", *rng.choice(bases)[rng.randrange(3) :], f"v{rng.randrange(40)}"])) for i in range(400)]
+    rows += [(1000 + i, rows[7 * i][1]) for i in range(50)]  # copies
+    df = spark.createDataFrame(rows, "row_id long, sentence_text string").repartition(3)
+    sets = setjoin.word_sets(df, "row_id", "sentence_text").persist()
+    monkeypatch.setattr(setjoin, "WAVE_COPIES", 5)
+    monkeypatch.setattr(setjoin, "SAMPLE_ROWS", 300)
+    waves = []
+    plain = setjoin._met
+    monkeypatch.setattr(setjoin, "_met", lambda sent: waves.append(sent.agg(F.sum("n"), F.max("part")).first()) or plain(sent))
+    links, copied = setjoin.likeness_links(sets, most=40)
+    members = spectral.with_copies(spectral.spectral_clusters(links), copied)
+    assert {(r.root, r.row_id) for r in members.where("row_id <> root").collect()} == brute(rows)
+    sent = sum(n for n, _ in waves)
+    assert len(waves) > 1 and all(n < 1.5 * 5 * len(rows) for n, _ in waves)
+    assert max(p for _, p in waves) > 0.8 * sent / 40  # as many partitions as rows go to, not as for one group a word
