@@ -66,3 +66,38 @@ def test_tree_of_many_nodes_loses_nothing(spark, monkeypatch):
 def test_capacity_must_hold_a_token(spark):
     with pytest.raises(ValueError):
         run(spark, [(1, "a")], [("p", 0)])
+
+
+def test_best_fit_goes_on_in_open_bins():
+    assert packing.best_fit([3, 4, 8], 10, [6, 10, 7]) == [[1], [], [0], [2]]
+    rng = random.Random(4)
+    for _ in range(50):
+        loads, sizes = [], []
+        for _ in range(4):  # texts in four runs: no two bins fit into one
+            sizes = [rng.randrange(1, 60) for _ in range(30)]
+            bins = packing.best_fit(sizes, 100, loads)
+            assert sorted(i for b in bins for i in b) == list(range(30))
+            loads = [load + sum(sizes[i] for i in b) for load, b in zip(loads + [0] * (len(bins) - len(loads)), bins)]
+            assert max(loads) <= 100 and sum(sorted(loads)[:2]) > 100
+
+
+def test_all_underfull_packs_meet_the_further_texts_of_a_partition(spark, monkeypatch):
+    """Twice as many packs as a node hands on are open when the texts come that fill them."""
+    monkeypatch.setattr(packing, "LOCAL_ITEMS", 10_000)
+    n = 2 * packing.MERGE_ITEMS
+    docs = spark.range(0, 2 * n, 1, 1).selectExpr("id AS doc_id", f"trim(repeat('word ', if(id < {n}, 60, 40))) AS text")
+    packs = packing.pack(docs, "doc_id", "text", [("p", 100)], pt.path("byte_bpe_50k.tiktoken"), pt.PATTERN).collect()
+    assert len(packs) == n and {p.load for p in packs} == {100}
+    assert sorted(m.doc_id for p in packs for m in p.members) == list(range(2 * n))
+
+
+def test_no_two_underfull_packs_fit_into_one(spark, monkeypatch):
+    """Of partitions with far more packs than are handed on, and a tree of several levels."""
+    monkeypatch.setattr(packing, "MERGE_ITEMS", 1)
+    monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "LOCAL_ITEMS", 150)
+    docs = spark.range(0, 3000, 1, 9).selectExpr("id AS doc_id", "trim(repeat('word ', cast(if(id % 331 = 0, 5 + id % 30, 51 + pmod(hash(id), 45)) AS int))) AS text")
+    packs = packing.pack(docs, "doc_id", "text", [("p", 100)], pt.path("byte_bpe_50k.tiktoken"), pt.PATTERN).collect()
+    loads = sorted(p.load for p in packs if p.load < 99)
+    assert len(loads) > 1000 and loads[0] + loads[1] > 100
+    assert sorted(m.doc_id for p in packs for m in p.members) == list(range(3000))
