@@ -227,6 +227,8 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
     key = _mix(np.zeros(len(rec), np.uint64), code)
     big = code >= np.searchsorted(coder.counts, most, "right")
     if not big.any():
+        if not slack:
+            return rec, key, pos, np.ones(len(rec), np.int64)
         prefix = pos < probe[rec]
         return rec[prefix], key[prefix], pos[prefix], np.ones(int(prefix.sum()), np.int64)
     est = coder.share(code)
@@ -234,7 +236,7 @@ def group_rows(starts: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: C
     for depth in range(1, MAX_DEPTH + 1):
         big = (est * coder.rows > most) if depth < MAX_DEPTH else np.zeros(len(rec), bool)
         here = ~big | (least[rec] <= depth + slack)
-        if depth == 1:
+        if depth == 1 and slack:
             here &= pos < probe[rec]
         out.append((rec[here], key[here], pos[here], np.full(int(here.sum()), depth)))
         if not big.any():
@@ -453,11 +455,12 @@ def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Cod
     task = _Local(ids, lens, codes, coder, like)
     if len(ids) > 1:
         found = []
-        for at, some in _slices(lens, task.starts, codes):  # most groups are of other partitions
+        for at, some in _slices(lens, task.starts, codes, classes):  # most groups are of other partitions
             rec, key, pos, depth = group_rows(*some, coder, like, most, classes)
             mine = (key % np.uint64(parts)).astype(np.int64) == part
             found.append((rec[mine] + at, key[mine], pos[mine], depth[mine]))
         rec, key, pos, depth = (np.concatenate(x) for x in zip(*found))
+        del found
         for d in np.unique(depth):
             own = depth == d
             task.run(rec[own], key[own], pos[own], int(d), classes - 1 if d > 1 else 0)
@@ -467,10 +470,11 @@ def local_links(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray, coder: Cod
     return ids[i], ids[j], weight, ids[task.label[i]]
 
 
-def _slices(lens: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """The first record and (starts, lens, codes) of slices of GROUPED_ROWS records."""
-    for at in range(0, len(lens), GROUPED_ROWS):
-        own = slice(at, at + GROUPED_ROWS)
+def _slices(lens: np.ndarray, starts: np.ndarray, codes: np.ndarray, classes: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The first record and (starts, lens, codes) of slices of GROUPED_ROWS records; of all where groups are few."""
+    step = GROUPED_ROWS if classes > 1 else max(1, len(lens))
+    for at in range(0, len(lens), step):
+        own = slice(at, at + step)
         base = starts[at]
         yield at, (starts[own] - base, lens[own], codes[base : starts[own][-1] + lens[own][-1]])
 
@@ -485,7 +489,7 @@ def _coded(lists: pa.ListArray, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
 def _send_to(lens: np.ndarray, codes: np.ndarray, coder: Coder, like: Likeness, parts: int, most: int | None, classes: int, wave: int = 0, waves: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(partition, record): the partitions of a wave that each record goes to, in order."""
     out = []
-    for at, some in _slices(lens, np.cumsum(lens) - lens, codes):
+    for at, some in _slices(lens, np.cumsum(lens) - lens, codes, classes):
         rec, key, _, _ = group_rows(*some, coder, like, most, classes)
         part = (key % np.uint64(parts)).astype(np.int64)
         if waves > 1:
